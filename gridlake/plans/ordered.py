@@ -103,20 +103,27 @@ def bounded_window(
     order: list[str],
     before: int = 0,
     after: int = 0,
+    position: str | None = None,
     limit: int | None = None,
 ):
     """Layout for frames that look at most ``before`` rows back and ``after`` rows ahead.
 
     Returns ``(df, window, core)``: evaluate the frame over ``window`` and keep the rows where
     ``core`` holds.  A key too large for one task is cut into chunks of its dense positions, and the
-    few rows at a chunk border are copied into the neighbour, so frames stay exact.
+    few rows at a chunk border are copied into the neighbour, so frames stay exact.  ``position``
+    names a column for the 0-based dense position inside the key.
     """
     limit = limit or rows_per_task(df)
     largest, _ = group_sizes(df, keys)
     if largest <= limit:
-        return df, Window.partitionBy(*keys).orderBy(*order), F.lit(True)
+        window = Window.partitionBy(*keys).orderBy(*order)
+        if position:
+            df = df.withColumn(position, F.row_number().over(window).cast("long") - 1)
+        return df, window, F.lit(True)
     span = max(limit, before + after + 1)
     numbered = with_position(df, keys, order, "_pos", limit)
+    if position:
+        numbered = numbered.withColumn(position, F.col("_pos"))
     first = F.floor(F.greatest(F.col("_pos") - after, F.lit(0)) / span)
     last = F.floor((F.col("_pos") + before) / span)
     chunked = numbered.withColumn("_chunk", F.explode(F.sequence(first, last)))
@@ -127,3 +134,42 @@ def bounded_window(
 def drop_layout(df: DataFrame) -> DataFrame:
     """Remove the helper columns of ``bounded_window``."""
     return df.drop("_pos", "_chunk")
+
+
+def hash_order(*parts: Column | str | int) -> Column:
+    """Text that orders rows at random but always alike; equal parts give equal text."""
+    cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
+
+
+def hash_number(digest: Column, start: int = 1) -> Column:
+    """32-bit integer from eight hexadecimal digits of a digest."""
+    return F.conv(F.substring(digest, start, 8), 16, 10).cast("long")
+
+
+TOP_ROWS = 100_000
+
+
+def last_rows(df: DataFrame, seq: str, n: int, limit: int | None = None) -> DataFrame:
+    """The ``n`` rows with the largest unique ``seq``.
+
+    For a small ``n`` each task keeps its own best sequence numbers and only those meet; beyond that
+    the rows are numbered block by block.
+    """
+    if n <= 0:
+        return df.limit(0)
+    if n <= TOP_ROWS:
+        cut = df.select(seq).orderBy(F.desc(seq)).limit(n).agg(F.min(seq).alias("_cut"))
+        return df.join(F.broadcast(cut), F.col(seq) >= F.col("_cut")).drop("_cut")
+    total = df.count()
+    numbered = with_position(df, [], [seq], "_from", limit)
+    return numbered.where(F.col("_from") >= total - n).drop("_from")
+
+
+def first_rows(df: DataFrame, order: Column, n: int, limit: int | None = None) -> DataFrame:
+    """The ``n`` rows with the smallest unique order value."""
+    ordered = df.withColumn("_order", order)
+    if n <= TOP_ROWS:
+        return ordered.orderBy("_order").limit(max(n, 0)).drop("_order")
+    numbered = with_position(ordered, [], ["_order"], "_from", limit)
+    return numbered.where(F.col("_from") < n).drop("_from", "_order")
