@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.plans.ordered import bounded_window, drop_layout, with_position
+from gridlake.plans.ordered import bounded_window, drop_layout, prefix_sums, with_position
 
 
 def reduce_by_set(metrics: DataFrame) -> DataFrame:
@@ -158,15 +158,11 @@ def running_statistics(batches: DataFrame, keys: list[str], batch: str) -> DataF
     centre = batches.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mid"))
     d = F.col("mean") - F.col("_mid")
     joined = batches.join(centre, keys) if keys else batches.crossJoin(F.broadcast(centre))
-    # Batches are already aggregates, a few per key and day.
-    so_far = Window.partitionBy(*keys).orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
-    sums = joined.select(
-        *keys,
-        batch,
-        "_mid",
-        F.sum("n").over(so_far).alias("count"),
-        F.sum(F.col("n") * d).over(so_far).alias("_s1"),
-        F.sum(F.col("n") * (F.col("var") + d * d)).over(so_far).alias("_s2"),
+    sums = prefix_sums(
+        joined,
+        keys,
+        [batch],
+        {"count": F.col("n"), "_s1": F.col("n") * d, "_s2": F.col("n") * (F.col("var") + d * d)},
     )
     shift = F.col("_s1") / F.col("count")
     return sums.select(

@@ -102,8 +102,13 @@ def verification_funnel(examples: DataFrame, rule: GridRule, keys: list[str], se
 
 
 def patch_cells(grids: DataFrame, patches: DataFrame, key: str = "grid_id") -> DataFrame:
-    """Overwrite the listed cells; ``patches(key, r, c, v)`` has at most one value per cell."""
-    per_grid = patches.groupBy(key).agg(
+    """Overwrite the listed cells; of several values for one cell the smallest is taken.
+
+    ``patches(key, r, c, v)``.
+    """
+    # One value per cell first, so no grid collects more entries than it has cells.
+    per_cell = patches.groupBy(key, "r", "c").agg(F.min("v").alias("v"))
+    per_grid = per_cell.groupBy(key).agg(
         F.collect_list(F.struct("v", "r", "c")).alias("_patch")
     )
     joined = grids.join(per_grid, key, "left")

@@ -69,32 +69,51 @@ def with_block(df: DataFrame, order: list[str], total: int, rows: int, out: str
     return cut.withColumn(out, F.struct(F.col("_b1").alias("a"), second.alias("b"))).drop("_b1", "_b2")
 
 
-def with_position(
-    df: DataFrame, keys: list[str], order: list[str], out: str = "pos", limit: int | None = None
+def prefix_sums(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    sums: dict[str, Column],
+    inclusive: bool = True,
+    limit: int | None = None,
 ) -> DataFrame:
-    """0-based dense position of each row inside its key; ``order`` must be a total order."""
+    """Running sums per key in ``order``, with the row itself or of the rows before it only.
+
+    ``order`` must be a total order inside a key.
+    """
     limit = limit or rows_per_task(df)
     largest, total = group_sizes(df, keys)
+    last = 0 if inclusive else -1
+
+    def running(window) -> dict[str, Column]:
+        frame = window.rowsBetween(Window.unboundedPreceding, last)
+        return {out: F.coalesce(F.sum(value).over(frame), F.lit(0)) for out, value in sums.items()}
+
     if largest <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long") - 1)
+        return df.withColumns(running(Window.partitionBy(*keys).orderBy(*order)))
     blocked = with_block(df, order, total, limit)
-    counts = blocked.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    per_block = blocked.groupBy(*keys, "_blk").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()])
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    offsets = per_block.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col("_blk").alias("_kb"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+        *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums],
     )
     match = F.col("_blk") == F.col("_kb")
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
-    numbered = blocked.withColumn("_in", F.row_number().over(inside).cast("long") - 1)
-    helper = ["_blk", "_kb", "_off", "_in", *[f"_k{i}" for i in range(len(keys))]]
-    return (
-        numbered.join(offsets, match).withColumn(out, F.col("_off") + F.col("_in")).drop(*helper)
-    )
+    inside = running(Window.partitionBy(*keys, "_blk").orderBy(*order))
+    summed = blocked.withColumns(inside).join(offsets, match)
+    whole = summed.withColumns({o: F.col(f"_off_{o}") + F.col(o) for o in sums})
+    return whole.drop("_blk", "_kb", *[f"_off_{o}" for o in sums], *[f"_k{i}" for i in range(len(keys))])
+
+
+def with_position(
+    df: DataFrame, keys: list[str], order: list[str], out: str = "pos", limit: int | None = None
+) -> DataFrame:
+    """0-based dense position of each row inside its key; ``order`` must be a total order."""
+    one = F.lit(1).cast("long")
+    return prefix_sums(df, keys, order, {out: one}, inclusive=False, limit=limit)
 
 
 def bounded_window(

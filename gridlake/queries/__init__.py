@@ -7,6 +7,8 @@ from gridlake.queries import (  # noqa: F401
     grids,
     run_metrics,
     sampling,
+    storage,
+    streams,
     texts,
     transitions,
     vectors,
