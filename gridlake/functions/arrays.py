@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -15,6 +16,15 @@ def let(value: Column, body: Fn) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound(function: Callable[..., Column]) -> Callable[..., Column]:
+    """Compute the first argument of a column function once, however often its body mentions it."""
+    @functools.wraps(function)
+    def bind(value: Column, *args, **kwargs) -> Column:
+        return let(value, lambda x: function(x, *args, **kwargs))
+
+    return bind
+
+
 def upto(n: Column) -> Column:
     """``[0, 1, .., n-1]``, empty when n < 1."""
     empty = F.array().cast("array<int>")

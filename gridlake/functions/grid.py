@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.functions.arrays import counts, let, upto
+from gridlake.functions.arrays import bound, counts, let, upto
 
 MAX_SIDE = 30
 DIHEDRAL_INVERSE = [0, 3, 2, 1, 4, 5, 6, 7]
@@ -105,12 +105,14 @@ def from_text(text: Column) -> Column:
     )
 
 
+@bound
 def grid_hash(g: Column) -> Column:
     """md5 of shape and values; grids of different shape never share a hash input."""
     flat = F.array_join(F.transform(values(g), lambda v: v.cast("string")), ",")
     return F.md5(F.concat(height(g).cast("string"), F.lit("x"), width(g).cast("string"), F.lit(":"), flat))
 
 
+@bound
 def is_valid(g: Column) -> Column:
     """Rectangular, 1..30 rows and columns, every value 0..9."""
     sides = (F.size(g).between(1, MAX_SIDE)) & (width(g).between(1, MAX_SIDE))
@@ -256,6 +258,7 @@ def crop(g: Column, r: Column | int, c: Column | int, h: Column | int, w: Column
     return F.transform(rows, lambda row: F.slice(row, _c(c) + 1, F.greatest(_c(w), F.lit(0))))
 
 
+@bound
 def trim(g: Column) -> Column:
     """Drop the outer ring."""
     return crop(g, 1, 1, height(g) - 2, width(g) - 2)
@@ -265,19 +268,23 @@ def _half(n: Column) -> Column:
     return F.floor(n / 2).cast("int")
 
 
+@bound
 def tophalf(g: Column) -> Column:
     return crop(g, 0, 0, _half(height(g)), width(g))
 
 
+@bound
 def bottomhalf(g: Column) -> Column:
     n = _half(height(g))
     return crop(g, height(g) - n, 0, n, width(g))
 
 
+@bound
 def lefthalf(g: Column) -> Column:
     return crop(g, 0, 0, height(g), _half(width(g)))
 
 
+@bound
 def righthalf(g: Column) -> Column:
     n = _half(width(g))
     return crop(g, 0, width(g) - n, height(g), n)
@@ -317,6 +324,7 @@ def vconcat(a: Column, b: Column) -> Column:
     return F.concat(a, b)
 
 
+@bound
 def hsplit(g: Column, n: int) -> Column:
     """``n`` parts from left to right; one column is skipped between parts if not divisible."""
     w = F.floor(width(g) / n).cast("int")
@@ -324,6 +332,7 @@ def hsplit(g: Column, n: int) -> Column:
     return F.array(*[crop(g, 0, w * i + gap * i, height(g), w) for i in range(n)])
 
 
+@bound
 def vsplit(g: Column, n: int) -> Column:
     """``n`` parts from top to bottom; one row is skipped between parts if not divisible."""
     h = F.floor(height(g) / n).cast("int")
@@ -365,6 +374,7 @@ def compress(g: Column) -> Column:
     return let(g, cut)
 
 
+@bound
 def frontiers(g: Column) -> Column:
     """Single-coloured rows and columns as ``(axis, index, value)``."""
     rows = F.filter(
@@ -462,6 +472,7 @@ def edge_cells(g: Column) -> Column:
     return let(g, count)
 
 
+@bound
 def edge_density(g: Column) -> Column:
     """``edge_cells`` over (h-1)(w-1); 0 for grids of one row or column."""
     h, w = height(g), width(g)
@@ -471,6 +482,10 @@ def edge_density(g: Column) -> Column:
 
 def difficulty(a: Column, b: Column) -> Column:
     """Heuristic difficulty of an input/output pair, with its four parts."""
+    return let(a, lambda x: let(b, lambda y: _difficulty(x, y)))
+
+
+def _difficulty(a: Column, b: Column) -> Column:
     cells_a, cells_b = height(a) * width(a), height(b) * width(b)
     h, w = F.least(height(a), height(b)), F.least(width(a), width(b))
     differing = F.aggregate(
@@ -507,6 +522,7 @@ def difficulty(a: Column, b: Column) -> Column:
     return let(parts, lambda s: s.withField("difficulty", total(s)))
 
 
+@bound
 def valid_rect(x: Column, low: int = 2, high: int = 11) -> Column:
     """Largest top-left rectangle free of values outside ``low..high``, shifted down by ``low``.
 
@@ -544,6 +560,7 @@ def valid_rect(x: Column, low: int = 2, high: int = 11) -> Column:
     return F.transform(cut, lambda row: F.transform(row, lambda v: v - low))
 
 
+@bound
 def rescale(g: Column) -> Column:
     """Min-max scaling to 0..255, truncated; the 1e-8 in the divisor keeps the maximum below 255."""
     span = F.struct(F.array_min(values(g)).alias("lo"), F.array_max(values(g)).alias("hi"))
@@ -559,6 +576,7 @@ def rescale(g: Column) -> Column:
     )
 
 
+@bound
 def rescale_by_max(g: Column) -> Column:
     """Scaling by the maximum to 0..255 in single precision, truncated; an all-zero grid stays."""
     def scaled(v: Column, hi: Column) -> Column:

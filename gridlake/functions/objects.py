@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlake.functions import grid as G
-from gridlake.functions.arrays import let, upto
+from gridlake.functions.arrays import bound, let, upto
 from gridlake.schemas import OBJECTS
 
 FRONTIER = 30  # fixed value: length of a frontier
@@ -42,8 +42,10 @@ def toindices(obj: Column) -> Column:
 
 def toobject(patch: Column, g: Column) -> Column:
     """Cells of the grid under the patch; locations outside are dropped."""
-    picked = F.transform(patch, lambda s: cell(G.cell(g, s["r"], s["c"]), s["r"], s["c"]))
-    return F.filter(picked, lambda s: s["v"].isNotNull())
+    def pick(x: Column) -> Column:
+        return F.transform(patch, lambda s: cell(G.cell(x, s["r"], s["c"]), s["r"], s["c"]))
+
+    return F.filter(let(g, pick), lambda s: s["v"].isNotNull())
 
 
 def index(g: Column, at: Column) -> Column:
@@ -70,6 +72,7 @@ def rightmost(p: Column) -> Column:
     return F.array_max(cols_of(p))
 
 
+@bound
 def bbox(p: Column) -> Column:
     """``(t, l, b, r)`` of the bounding box."""
     return F.struct(
@@ -92,15 +95,18 @@ def portrait(p: Column) -> Column:
     return height(p) > width(p)
 
 
+@bound
 def square(p: Column) -> Column:
     """A full square: equal sides and every location taken."""
     return (height(p) == width(p)) & (height(p) * width(p) == F.size(p))
 
 
+@bound
 def vline(p: Column) -> Column:
     return (height(p) == F.size(p)) & (width(p) == 1)
 
 
+@bound
 def hline(p: Column) -> Column:
     return (width(p) == F.size(p)) & (height(p) == 1)
 
@@ -121,10 +127,12 @@ def lrcorner(p: Column) -> Column:
     return loc(lowermost(p), rightmost(p))
 
 
+@bound
 def corners(p: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array(ulcorner(p), urcorner(p), llcorner(p), lrcorner(p))))
 
 
+@bound
 def center(p: Column) -> Column:
     return loc(
         uppermost(p) + F.floor(height(p) / 2),
@@ -136,6 +144,7 @@ def _mean(xs: Column) -> Column:
     return F.floor(F.aggregate(xs, F.lit(0), lambda a, x: a + x) / F.size(xs))
 
 
+@bound
 def centerofmass(p: Column) -> Column:
     return loc(_mean(rows_of(p)), _mean(cols_of(p)))
 
@@ -172,23 +181,28 @@ def _on_box(p: Column, form: Callable[[Column], Column]) -> Column:
     return F.when(F.size(p) == 0, empty).otherwise(let(bbox(p), form))
 
 
+@bound
 def backdrop(p: Column) -> Column:
     return _on_box(p, lambda s: rectangle(s["t"], s["l"], s["b"], s["r"]))
 
 
+@bound
 def delta(p: Column) -> Column:
     """Locations of the bounding box that the patch leaves free."""
     return F.array_except(backdrop(p), toindices(p))
 
 
+@bound
 def box(p: Column) -> Column:
     return _on_box(p, lambda s: ring(s["t"], s["l"], s["b"], s["r"]))
 
 
+@bound
 def inbox(p: Column) -> Column:
     return _on_box(p, lambda s: ring(s["t"] + 1, s["l"] + 1, s["b"] - 1, s["r"] - 1))
 
 
+@bound
 def outbox(p: Column) -> Column:
     return _on_box(p, lambda s: ring(s["t"] - 1, s["l"] - 1, s["b"] + 1, s["r"] + 1))
 
@@ -205,18 +219,22 @@ def shift(p: Column, dr: Column | int, dc: Column | int) -> Column:
     return F.transform(p, lambda s: s.withField("r", s["r"] + dr).withField("c", s["c"] + dc))
 
 
+@bound
 def normalize(p: Column) -> Column:
     return let(bbox(p), lambda b: shift(p, -b["t"], -b["l"]))
 
 
+@bound
 def hmirror(p: Column) -> Column:
     return let(bbox(p), lambda b: F.transform(p, lambda s: s.withField("r", b["t"] + b["b"] - s["r"])))
 
 
+@bound
 def vmirror(p: Column) -> Column:
     return let(bbox(p), lambda b: F.transform(p, lambda s: s.withField("c", b["l"] + b["r"] - s["c"])))
 
 
+@bound
 def dmirror(p: Column) -> Column:
     def swapped(b: Column) -> Column:
         return F.transform(

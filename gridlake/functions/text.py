@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions import grid as G
-from gridlake.functions.arrays import let
-from gridlake.plans.bounds import broadcast_if_small
+from gridlake.functions.arrays import bound, let, upto
+from gridlake.plans.bounds import is_small
 from gridlake.plans.ordered import bounded_window, drop_layout
 
 # The characters that count as white space, as in Unicode plus the file separators.
@@ -323,6 +323,37 @@ def prompts(
 CONTROL = {"EXPAND": 0, "STOP": 1, "MERGE": 2, "THOUGHT": 3, "END_THOUGHT": 4}
 
 
+# Two noncharacters stand for a space token and a merge while a text is put together.
+_GAP, _MERGE = "\ufdd0", "\ufdd1"
+
+
+def _emission(code: Column, expand: Column, tokens: Column, text: Column, concept: Column, shown: bool) -> Column:
+    """What one position adds to the text, spaces and merges marked; ``code`` is null for a concept."""
+    def spell(token: Column) -> Column:
+        return F.when(token == " ", _GAP).otherwise(token)
+
+    marks = (
+        F.when(code == CONTROL["MERGE"], _MERGE)
+        .when((code == CONTROL["THOUGHT"]) & F.lit(shown), "<THOUGHT>")
+        .when((code == CONTROL["END_THOUGHT"]) & F.lit(shown), "<END_THOUGHT>")
+        .otherwise("")
+    )
+    expanded = F.coalesce(F.array_join(F.transform(tokens, spell), ""), F.lit(""))
+    plain = F.coalesce(text, F.concat(F.lit("<C"), concept.cast("string"), F.lit(">")))
+    return F.when(code.isNotNull(), marks).when(expand != 0, expanded).otherwise(spell(plain))
+
+
+@bound
+def _settle_merges(marked: Column) -> Column:
+    """A merge takes back the space before it: matching pairs vanish from the inside out."""
+    runs = F.regexp_extract_all(marked, F.lit(f"({_GAP}+)"), 1)
+    depth = F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+    settled = F.aggregate(
+        upto(depth), marked, lambda acc, _: F.replace(acc, F.lit(_GAP + _MERGE), F.lit(""))
+    )
+    return F.replace(F.replace(settled, F.lit(_MERGE), F.lit("")), F.lit(_GAP), F.lit(" "))
+
+
 def decode_concepts(
     sequences: DataFrame, concepts: DataFrame, num_concepts: int, show_thoughts: bool = True
 ) -> DataFrame:
@@ -332,42 +363,44 @@ def decode_concepts(
     ``concepts(concept_id, tokens, text)``.  STOP ends the sequence, MERGE takes back one space
     token, thought marks are shown on request, an expanded concept emits its tokens and any other
     one its text or ``<C{id}>``.
+
+    A concept table of a size that was checked is turned into one array by id and looked up inside
+    the row; a larger one is joined position by position.
     """
-    steps = sequences.select(
-        "seq_id", F.posexplode(F.arrays_zip("concept_ids", "control", "expand")).alias("pos", "s")
-    ).select(
-        "seq_id", "pos", F.col("s.concept_ids").alias("concept_id"), "s.control", "s.expand"
+    n = num_concepts
+    stop = F.array_position(
+        F.zip_with("concept_ids", "control", lambda c, x: (x != 0) & (c == n + CONTROL["STOP"])), F.lit(True)
     )
-    code = F.when(F.col("control") != 0, F.col("concept_id") - num_concepts)
-    named = steps.withColumn("_code", code).join(broadcast_if_small(concepts), "concept_id", "left")
-    plain = F.array(F.coalesce("text", F.concat(F.lit("<C"), F.col("concept_id"), F.lit(">"))))
-    empty = F.array().cast("array<string>")
-    shown = F.lit(show_thoughts)
-    emitted = (
-        F.when((F.col("_code") == CONTROL["THOUGHT"]) & shown, F.array(F.lit("<THOUGHT>")))
-        .when((F.col("_code") == CONTROL["END_THOUGHT"]) & shown, F.array(F.lit("<END_THOUGHT>")))
-        .when(F.col("_code").isNotNull(), empty)
-        .when(F.col("expand") != 0, F.coalesce("tokens", empty))
-        .otherwise(plain)
-    )
-    step = F.struct(
-        "pos",
-        emitted.alias("out"),
-        F.coalesce(F.col("_code") == CONTROL["MERGE"], F.lit(False)).alias("merge"),
-        F.coalesce(F.col("_code") == CONTROL["STOP"], F.lit(False)).alias("stop"),
+    steps = F.arrays_zip("concept_ids", "control", "expand")
+    live = F.when(stop > 0, F.slice(steps, F.lit(1), (stop - 1).cast("int"))).otherwise(steps)
+    cut = sequences.select("seq_id", live.alias("steps"))
+    if is_small(concepts):
+        entry = F.struct("tokens", "text")
+        by_id = F.map_from_entries(F.collect_list(F.struct("concept_id", entry)))
+        book = concepts.where(F.col("concept_id").between(0, n - 1)).agg(by_id.alias("_map")).select(
+            F.transform(upto(F.lit(n)), lambda i: F.try_element_at("_map", i)).alias("_book")
+        )
+
+        def emit(s: Column) -> Column:
+            def look_up(e: Column) -> Column:
+                code = F.when(s["control"] != 0, s["concept_ids"] - n)
+                return _emission(code, s["expand"], e["tokens"], e["text"], s["concept_ids"], show_thoughts)
+
+            return let(F.get("_book", s["concept_ids"]), look_up)
+
+        marked = F.array_join(F.transform("steps", emit), "")
+        joined = cut.crossJoin(F.broadcast(book))
+        return joined.select("seq_id", _settle_merges(marked).alias("text"))
+    rows = cut.select("seq_id", F.posexplode_outer("steps").alias("pos", "s"))
+    named = rows.withColumn("concept_id", F.col("s.concept_ids")).join(concepts, "concept_id", "left")
+    code = F.when(F.col("s.control") != 0, F.col("concept_id") - n)
+    piece = _emission(code, F.col("s.expand"), F.col("tokens"), F.col("text"), F.col("concept_id"), show_thoughts)
+    # A sequence came from one row, so its pieces fit one group again.
+    glued = named.groupBy("seq_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce(piece, F.lit("")).alias("p")))).alias("_p")
     )
-    # A sequence came from one row, so its positions fit one group again.
-    ordered = named.groupBy("seq_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    stop = F.array_min(F.transform(F.filter("steps", lambda s: s["stop"]), lambda s: s["pos"]))
-    live = F.filter("steps", lambda s: F.col("_stop").isNull() | (s["pos"] < F.col("_stop")))
-
-    def fold(acc: Column, s: Column) -> Column:
-        space_last = F.coalesce(F.try_element_at(acc, F.lit(-1)) == " ", F.lit(False))
-        popped = F.when(space_last, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
-        return F.when(s["merge"], popped).otherwise(F.concat(acc, s["out"]))
-
-    decoded = F.array_join(F.aggregate(live, empty, fold), "")
-    return ordered.withColumn("_stop", stop).select("seq_id", decoded.alias("text"))
+    marked = F.array_join(F.transform("_p", lambda s: s["p"]), "")
+    return glued.select("seq_id", _settle_merges(marked).alias("text"))
 
 
 def cut_at_stop(df: DataFrame, keys: list[str], pos: str, is_stop: Column) -> DataFrame:

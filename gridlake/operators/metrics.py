@@ -116,8 +116,7 @@ def component_summary(layers: DataFrame) -> DataFrame:
 def diagnose(layers: DataFrame, recent: int = 10) -> DataFrame:
     """Issues at every step, from that step and the spread of the last ``recent`` step means."""
     summary = telemetry_summary(layers)
-    numbered = with_position(summary, [], ["step"], "_at")
-    src, order, core = bounded_window(numbered, [], ["step"], before=recent - 1)
+    src, order, core = bounded_window(summary, [], ["step"], before=recent - 1, position="_at")
     last = order.rowsBetween(1 - recent, 0)
     spread = F.when(F.col("_at") >= recent, F.var_pop("norm_mean").over(last))
     flags = F.array_compact(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions import grid as G
@@ -14,6 +14,8 @@ from gridlake.plans.ordered import with_position
 
 GridRule = Callable[[Column], Column]
 
+GROUP_LIMIT = 1000  # largest rank limit that Spark pushes below the shuffle by default
+
 
 def filter_low_quality(df: DataFrame, score: str = "solvability", threshold: float = 0.3) -> DataFrame:
     """Keep rows at or above the threshold; a missing score counts as 1."""
@@ -71,6 +73,10 @@ def verified_examples(
     unique = first_of_each_input(good, keys, seq)
     if cap is None:
         return unique
+    if cap <= GROUP_LIMIT:
+        # A small constant rank limit is applied in every task before the shuffle.
+        order = Window.partitionBy(*keys).orderBy(seq)
+        return unique.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= cap).drop("_rank")
     numbered = with_position(unique, keys, [seq], "_rank")
     return numbered.where(F.col("_rank") < cap).drop("_rank")
 

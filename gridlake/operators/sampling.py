@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.plans.bounds import broadcast_if_small
+from gridlake.plans.bounds import broadcast_if_small, cut_lineage
 from gridlake.plans.ordered import hash_number, hash_order, with_position
 
 
@@ -244,6 +244,8 @@ def epoch_batches(
     lanes = sharded.join(F.broadcast(sets.withColumn("_set", number)), "set_name").withColumn(
         "lane", F.col("_set") * shards + F.col("shard")
     )
+    # The order is read several times below: to count blocks, to compute their effects, to replay them.
+    lanes = cut_lineage(lanes)
     packed = pack_greedily(lanes, "lane", "shard_pos", "size", batch_size, block_items)
     return packed.select("set_name", "shard", "batch_id", "shard_pos", "group_id", "puzzle_id", "size", "take")
 

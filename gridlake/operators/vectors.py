@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from gridlake.functions import numeric as N
 from gridlake.functions import text as X
 from gridlake.functions.arrays import let, upto
-from gridlake.plans.bounds import broadcast_if_small
+from gridlake.plans.bounds import broadcast_if_small, cut_lineage
 from gridlake.plans.ordered import hash_number, hash_order, last_rows
 
 CAPTURED_VALUES = 8_000_000  # numbers a task may hold as a codebook: 64 MB in double precision
@@ -178,6 +178,8 @@ def reset_dead_codes(state: DataFrame, dim: int, min_usage: float = 0.01, seed:
     ``state(concept_id, size, total, vec)``.  The copy's source and the noise (0.1 standard normal)
     are read from hashes; a reset code starts with a tenth of the mean size.
     """
+    # The state is read several times below, and it is small next to the vectors behind it.
+    state = cut_lineage(state)
     mean = state.agg(F.avg("size").alias("_mean"))
     flagged = state.crossJoin(F.broadcast(mean)).withColumn("dead", F.col("size") < F.col("_mean") * F.lit(min_usage))
     # The codebook is the bounded side of every assignment, so ranking its codes fits one task.
@@ -186,7 +188,9 @@ def reset_dead_codes(state: DataFrame, dim: int, min_usage: float = 0.01, seed:
     n_active = active.agg(F.count(F.lit(1)).alias("_n"))
     pick = F.pmod(hash_number(hash_order(F.col("concept_id"), seed)), F.col("_n"))
     dead = flagged.where("dead").crossJoin(F.broadcast(n_active)).withColumn("_at", pick).join(active, "_at")
-    noise = F.array(*[_gauss(F.col("concept_id"), i, seed) * F.lit(0.1) for i in range(dim)])
+    noise = F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _gauss(F.col("concept_id"), i, seed) * F.lit(0.1)
+    )
     fresh = F.zip_with("_src", noise, lambda v, e: v + e)
     reborn = dead.withColumn("vec", fresh).select(
         "concept_id", (F.col("_mean") * F.lit(0.1)).alias("size"), F.col("vec").alias("total"), "vec", "dead"
@@ -225,7 +229,8 @@ def representative_phrases(
 
     ``assigned(sample_id, k, concept_id)`` and ``texts(sample_id, text)``.
     """
-    parts = texts.select("sample_id", F.posexplode(X.even_slices(F.col("text"), slices)).alias("k", "phrase"))
+    used = texts.join(assigned.select("sample_id").distinct(), "sample_id", "left_semi")
+    parts = used.select("sample_id", F.posexplode(X.even_slices(F.col("text"), slices)).alias("k", "phrase"))
     joined = assigned.join(parts, ["sample_id", "k"])
     if most_common:
         counted = joined.groupBy("concept_id", "phrase").agg(

@@ -292,7 +292,7 @@ select s1.m as m1, s2.m as m2, s3.m as m3, s4.m as m4,
 from s1, s2, s3, s4, l""")
 def caption_bleu(spark, sf_dir):
     """Each message scored against the one after it."""
-    conv = table(spark, sf_dir, "conversations")
+    conv = spread(table(spark, sf_dir, "conversations"))
     after = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r"))
     pairs = conv.select("conv_id", "turn", F.col("text").alias("p")).join(after, ["conv_id", "turn"])
     return _rounded(E.bleu(pairs, ["conv_id", "turn"], "p", "r"), "bleu")

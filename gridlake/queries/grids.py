@@ -689,8 +689,8 @@ kept as (select b.* from two_tone b join rows_ x on x.grid_id = b.grid_id and x.
          join cols_ y on y.grid_id = b.grid_id and y.c = b.c and y.k > 1)
 {text_sql('kept')}""")
 def grid_compress(spark, sf_dir):
-    out = binary(spark, sf_dir).select("grid_id", G.to_text(G.compress(g())).alias("grid"))
-    return out.where("grid <> ''")
+    out = binary(spark, sf_dir).select("grid_id", G.compress(g()).alias("grid")).where(G.width(g()) > 0)
+    return out.select("grid_id", G.to_text(g()).alias("grid"))
 
 
 @query(f"""with {BINARY},

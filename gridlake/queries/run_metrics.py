@@ -68,7 +68,7 @@ TELEMETRY_SQL = f"""
 raw as (
   select (year(l_shipdate) * 12 + month(l_shipdate))::int as step,
          {LAYERS}[(l_partkey % {len(LAYERS)} + 1)::int] as name,
-         l_quantity * case when month(l_shipdate) % 5 = 0 then 1e-8::double when month(l_shipdate) % 5 = 1 then 3 else 1 end as norm,
+         l_quantity * case when month(l_shipdate) % 5 = 0 then 1.3e-8::double when month(l_shipdate) % 5 = 1 then 3 else 1 end as norm,
          l_discount * case when month(l_shipdate) % 4 = 0 then 20 else 1 end as dead from lineitem),
 layers as (select step, name, max(norm) as grad_norm, avg(dead) as dead_ratio from raw group by all),
 sums as (
@@ -80,7 +80,7 @@ def layers(spark, sf_dir):
     """Shipping months as training steps, with the norms and dead shares of nine layers."""
     li = table(spark, sf_dir, "lineitem")
     month = F.month("l_shipdate")
-    scale = F.when(month % 5 == 0, F.lit(1e-8)).when(month % 5 == 1, F.lit(3.0)).otherwise(F.lit(1.0))
+    scale = F.when(month % 5 == 0, F.lit(1.3e-8)).when(month % 5 == 1, F.lit(3.0)).otherwise(F.lit(1.0))
     dead = F.col("l_discount") * F.when(month % 4 == 0, F.lit(20.0)).otherwise(F.lit(1.0))
     name = F.get(F.array(*[F.lit(n) for n in LAYERS]), (F.col("l_partkey") % len(LAYERS)).cast("int"))
     return li.groupBy((F.year("l_shipdate") * 12 + month).alias("step"), name.alias("name")).agg(

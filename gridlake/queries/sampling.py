@@ -111,10 +111,10 @@ def sink_batches(spark, sf_dir):
     return S.numbered_batches(docs, ["arrival"]).select("doc_id", "batch_id")
 
 
-@query("""select event_id, value from events order by ts, event_id limit 2500 offset 1234""")
+@query("""select event_id, value from events order by ts, event_id offset 234""")
 def resume_rows(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    return S.skip_rows(ev, ["ts", "event_id"], 1234, 2500).select("event_id", "value")
+    return S.skip_rows(ev, ["ts", "event_id"], 234).select("event_id", "value")
 
 
 SAMPLES_SQL = """

@@ -279,12 +279,12 @@ def chunk_inventory(spark, sf_dir):
 
 
 BATCH_LOG_SQL = """
-built as (select distinct event_id // 20 as batch_id from events),
+built as (select distinct event_id // 4 as batch_id from events),
 mapping as (select batch_id // 100 as chunk_id, batch_id from built where batch_id < 100)"""
 
 
 def batch_log(spark, sf_dir):
-    built = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 20).alias("batch_id")).distinct()
+    built = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).alias("batch_id")).distinct()
     mapping = built.where("batch_id < 100").select(F.floor(F.col("batch_id") / 100).alias("chunk_id"), "batch_id")
     return built, mapping
 
@@ -349,12 +349,14 @@ def training_report(spark, sf_dir):
     return M.training_report(progress_log(spark, sf_dir))
 
 
-@query("""with k as (select doc_id, sha256(text || '_224_224') as content_key, doc_id % 2 = 0 as known from documents)
+@query("""with k as (select doc_id, sha256(text || '_224_224') as content_key, quality is not null as known
+  from documents left join labels using (doc_id))
 select doc_id, content_key from k where content_key not in (select content_key from k where known)""")
 def incremental_antijoin(spark, sf_dir):
-    """Documents whose content is not among that of the even ones."""
+    """Documents whose content is not among that of the labelled ones, which are stored already."""
     docs = table(spark, sf_dir, "documents").select("doc_id", X.content_key(F.col("text")).alias("content_key"))
-    return B.skip_known(docs, docs.where("doc_id % 2 = 0")).select("doc_id", "content_key")
+    stored = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return B.skip_known(docs, stored).select("doc_id", "content_key")
 
 
 @query("""with d as (select doc_id, text, row_number() over (partition by text order by doc_id) as rn from documents)

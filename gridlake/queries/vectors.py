@@ -34,10 +34,11 @@ def codebook(spark, sf_dir):
     """Mean vector per label and sign of the first dimension, rounded."""
     emb = table(spark, sf_dir, "embeddings")
     group = F.col("label") * 2 + (F.get("embedding", F.lit(0)) > 0).cast("int")
-    means = emb.groupBy(group.cast("long").alias("concept_id")).agg(
-        *[F.round(F.avg(F.get("embedding", F.lit(i)).cast("double")), 6).alias(f"_{i}") for i in range(DIM)]
+    sums = emb.groupBy(group.cast("long").alias("concept_id")).agg(
+        F.count("*").alias("n"), *[F.sum(F.get("embedding", F.lit(i)).cast("double")).alias(f"_{i}") for i in range(DIM)]
     )
-    return means.select("concept_id", F.array(*[F.col(f"_{i}") for i in range(DIM)]).alias("vec"))
+    means = F.transform(F.array(*[F.col(f"_{i}") for i in range(DIM)]), lambda s: F.round(s / F.col("n"), 6))
+    return sums.select("concept_id", means.alias("vec"))
 
 
 def assigned(spark, sf_dir):
@@ -176,7 +177,7 @@ def concept_phrases(spark, sf_dir):
     caps = assigned(spark, sf_dir).select(
         F.floor(F.col("vec_id") / 4).alias("sample_id"), (F.col("vec_id") % 4).cast("int").alias("k"), "concept_id"
     )
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "text")
+    texts = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("sample_id"), "text")
     return V.representative_phrases(caps, texts, 4)
 
 

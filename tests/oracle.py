@@ -1,6 +1,6 @@
 """Run registered queries beside their oracle SQL and compare them without regard to row order.
 
-Usage: python tests/oracle.py [--sf 0.01] [name-prefix ...]
+Usage: python tests/oracle.py [--sf 0.01] [--conf key=value ...] [name-prefix ...]
 """
 
 from __future__ import annotations
@@ -105,6 +105,10 @@ def main(argv):
     import __spark_entry__ as entry
 
     spark, con = session(), connect(sf_dir)
+    while argv[:1] == ["--conf"]:
+        key, value = argv[1].split("=", 1)
+        spark.conf.set(key, value)
+        argv = argv[2:]
     sqls, failed = entry.oracle_sql(), []
     for name, query in entry.queries().items():
         if argv and not any(name.startswith(p) for p in argv):
