@@ -378,7 +378,7 @@ def decode_concepts(
         entry = F.struct("tokens", "text")
         by_id = F.map_from_entries(F.collect_list(F.struct("concept_id", entry)))
         book = concepts.where(F.col("concept_id").between(0, n - 1)).agg(by_id.alias("_map")).select(
-            F.transform(upto(F.lit(n)), lambda i: F.try_element_at("_map", i)).alias("_book")
+            F.transform(upto(F.lit(n)), lambda i: F.try_element_at("_map", i))
         )
 
         def emit(s: Column) -> Column:
@@ -389,7 +389,7 @@ def decode_concepts(
             return let(F.get("_book", s["concept_ids"]), look_up)
 
         marked = F.array_join(F.transform("steps", emit), "")
-        joined = cut.crossJoin(F.broadcast(book))
+        joined = cut.withColumn("_book", book.scalar())
         return joined.select("seq_id", _settle_merges(marked).alias("text"))
     rows = cut.select("seq_id", F.posexplode_outer("steps").alias("pos", "s"))
     named = rows.withColumn("concept_id", F.col("s.concept_ids")).join(concepts, "concept_id", "left")
@@ -408,3 +408,32 @@ def cut_at_stop(df: DataFrame, keys: list[str], pos: str, is_stop: Column) -> Da
     stops = df.where(is_stop).groupBy(*keys).agg(F.min(pos).alias("_stop"))
     joined = df.join(stops, keys, "left")
     return joined.where(F.col("_stop").isNull() | (F.col(pos) < F.col("_stop"))).drop("_stop")
+
+
+# --- maps as JSON -------------------------------------------------------------------------------
+
+
+def metadata_to_json(metadata: Column) -> Column:
+    return F.to_json(metadata)
+
+
+def metadata_from_json(text: Column) -> Column:
+    return F.from_json(text, "map<string,string>")
+
+
+def expansions_to_json(expansions: Column, texts: Column) -> Column:
+    """JSON of ``{expansions: {id: tokens}, texts: {id: text}}``; JSON keys are texts."""
+    def named(m: Column) -> Column:
+        return F.transform_keys(m, lambda k, _: k.cast("string"))
+
+    return F.to_json(F.struct(named(expansions).alias("expansions"), named(texts).alias("texts")))
+
+
+def expansions_from_json(text: Column) -> Column:
+    """Inverse of ``expansions_to_json``, with integer keys again."""
+    raw = F.from_json(text, "expansions map<string,array<int>>, texts map<string,string>")
+
+    def numbered(m: Column) -> Column:
+        return F.transform_keys(m, lambda k, _: k.cast("int"))
+
+    return F.struct(numbered(raw["expansions"]).alias("expansions"), numbered(raw["texts"]).alias("texts"))

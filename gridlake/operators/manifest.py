@@ -14,14 +14,14 @@ def consolidation_range(batches: DataFrame, mapping: DataFrame, per_chunk: int =
     ``batches(batch_id)`` lists the batches built, ``mapping(chunk_id, batch_id)`` those compacted.
     Zeros when no whole chunk is ready.
     """
-    built = batches.agg(F.coalesce(F.max("batch_id") + 1, F.lit(0)).alias("_built"))
-    done = mapping.agg(F.coalesce(F.max("chunk_id"), F.lit(-1)).alias("_last"))
+    done = mapping.agg(F.coalesce(F.max("chunk_id"), F.lit(-1))).scalar()
+    state = batches.agg(F.coalesce(F.max("batch_id") + 1, F.lit(0)).alias("_built")).withColumn("_last", done)
     n = F.lit(per_chunk)
     start = (F.col("_last") + 1) * n
     whole = F.floor((F.col("_built") - start) / n)
     ready = whole > 0
     zero = F.lit(0)
-    return built.crossJoin(done).select(
+    return state.select(
         F.when(ready, start).otherwise(zero).cast("long").alias("start_batch"),
         F.when(ready, start + whole * n).otherwise(zero).cast("long").alias("end_batch"),
         F.when(ready, F.col("_last") + 1).otherwise(zero).cast("long").alias("next_chunk_id"),
@@ -62,9 +62,9 @@ def chunk_progress(log: DataFrame) -> DataFrame:
     ``log(seq, is_marker, chunk_id, offset, samples, chunk_size)``.  Chunks seen only before the
     marker start over; a partial chunk resumes at the offset after its last one.
     """
-    marker = log.agg(F.coalesce(F.max(F.when(F.col("is_marker"), F.col("seq"))), F.lit(-1)).alias("_mark"))
-    steps = log.where("not is_marker").crossJoin(F.broadcast(marker))
-    live = F.col("seq") > F.col("_mark")
+    marker = log.agg(F.coalesce(F.max(F.when(F.col("is_marker"), F.col("seq"))), F.lit(-1))).scalar()
+    steps = log.where("not is_marker").withColumn("_live", F.col("seq") > marker)
+    live = F.col("_live")
     per = steps.groupBy("chunk_id").agg(
         F.coalesce(F.sum(F.when(live, F.col("samples"))), F.lit(0)).alias("samples_trained"),
         F.coalesce(F.max_by(F.when(live, F.col("offset")), F.when(live, F.col("seq"))), F.lit(0)).alias("last_offset"),
@@ -76,7 +76,7 @@ def chunk_progress(log: DataFrame) -> DataFrame:
 def training_report(log: DataFrame) -> DataFrame:
     """One row: epoch, current position, completed and known chunks, samples trained overall."""
     progress = chunk_progress(log).agg(
-        F.count_if("completed").alias("completed_chunks"), F.count(F.lit(1)).alias("total_chunks")
+        F.struct(F.count_if("completed").alias("completed"), F.count(F.lit(1)).alias("known")).alias("p")
     )
     step = ~F.col("is_marker")
     newest = F.max(F.when(step, F.struct("seq", "chunk_id", "offset")))
@@ -88,13 +88,13 @@ def training_report(log: DataFrame) -> DataFrame:
         F.coalesce(last_mark, F.lit(-1)).alias("_mark"),
     )
     after = F.col("_now.seq") > F.col("_mark")
-    return sums.crossJoin(progress).select(
+    return sums.withColumn("_p", progress.scalar()).select(
         "epoch",
         "total_samples_trained",
         F.when(after, F.col("_now.chunk_id")).otherwise(0).alias("current_chunk"),
         F.when(after, F.col("_now.offset")).otherwise(0).alias("current_offset"),
-        "completed_chunks",
-        "total_chunks",
+        F.col("_p.completed").alias("completed_chunks"),
+        F.col("_p.known").alias("total_chunks"),
     )
 
 

@@ -40,13 +40,16 @@ def latency_summary(df: DataFrame, keys: list[str], value: str, tie: str) -> Dat
     The percentile of q is the element ``floor(n q)`` of the sorted values.
     """
     ranked = with_position(df.select(*keys, value, tie), keys, [value, tie], "_pos")
-    sizes = df.groupBy(*keys).agg(
+    # Without keys a constant stands in, so that one join serves both cases.
+    by = keys or ["_all"]
+    every = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
+    sizes = df.groupBy(*every).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")
     )
     at = {"p50": F.floor(F.col("_n") / 2), "p95": F.floor(F.col("_n") * 0.95), "p99": F.floor(F.col("_n") * 0.99)}
     picks = [F.max(F.when(F.col("_pos") == index, F.col(value))).alias(name) for name, index in at.items()]
-    joined = ranked.join(sizes, keys) if keys else ranked.crossJoin(F.broadcast(sizes))
-    best = joined.groupBy(*keys, "mean", "min", "max").agg(*picks)
+    joined = ranked.select(*every, value, "_pos").join(sizes, by)
+    best = joined.groupBy(*by, "mean", "min", "max").agg(*picks)
     names = ["mean", "min", "max", "p50", "p95", "p99"]
     return best.select(*keys, *[F.round(n, 2).alias(n) for n in names])
 
@@ -154,9 +157,12 @@ def running_statistics(batches: DataFrame, keys: list[str], batch: str) -> DataF
     sum(n m) / N and the variance is (sum(n v) + sum(n m^2)) / N - mean^2.  The means are taken
     relative to the key's overall mean, which keeps the last difference accurate.
     """
-    centre = batches.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mid"))
+    mid = (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mid")
     d = F.col("mean") - F.col("_mid")
-    joined = batches.join(centre, keys) if keys else batches.crossJoin(F.broadcast(centre))
+    if keys:
+        joined = batches.join(batches.groupBy(*keys).agg(mid), keys)
+    else:
+        joined = batches.withColumn("_mid", batches.agg(mid).scalar())
     sums = prefix_sums(
         joined,
         keys,
@@ -182,8 +188,8 @@ def ema(
     it, with partial sums before the shuffle.  Without ``start`` the first value starts the average.
     """
     numbered = with_position(df, keys, order, "_pos")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    joined = numbered.join(sizes, keys) if keys else numbered.crossJoin(F.broadcast(sizes))
+    n = F.count(F.lit(1)).alias("_n")
+    joined = numbered.join(df.groupBy(*keys).agg(n), keys) if keys else numbered.withColumn("_n", df.agg(n).scalar())
     decay = F.pow(F.lit(mu), F.col("_n") - 1 - F.col("_pos"))
     weight = F.lit(1 - mu)
     if start is None:

@@ -241,7 +241,7 @@ def epoch_batches(
     # A lane is one (set, shard); the sets are few and are numbered by name.
     sets = puzzles.select("set_name").distinct()
     number = F.row_number().over(Window.orderBy("set_name")) - 1
-    lanes = sharded.join(F.broadcast(sets.withColumn("_set", number)), "set_name").withColumn(
+    lanes = sharded.join(broadcast_if_small(sets.withColumn("_set", number)), "set_name").withColumn(
         "lane", F.col("_set") * shards + F.col("shard")
     )
     # The order is read several times below: to count blocks, to compute their effects, to replay them.

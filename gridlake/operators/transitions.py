@@ -75,8 +75,7 @@ def drop_blank(df: DataFrame, identifier: str, blank: int) -> DataFrame:
 
 def drop_old(df: DataFrame, seq: str, max_age: int) -> DataFrame:
     """Remove rows more than ``max_age`` arrivals older than the newest."""
-    newest = df.agg((F.max(seq) - max_age).alias("_oldest"))
-    return df.join(F.broadcast(newest), F.col(seq) >= F.col("_oldest")).drop("_oldest")
+    return df.where(F.col(seq) >= df.agg(F.max(seq) - max_age).scalar())
 
 
 def retain(df: DataFrame, capacity: int, seq: str = "seq") -> DataFrame:
@@ -109,14 +108,11 @@ def sample_recent_mix(
     n_recent = int(n * recent_fraction)
     order = hash_order(F.col(seq), seed)
     marked = F.lit(False)
-    src = df
     if window > 0:
         # The newest sequence numbers are a bounded list of at most 1000.
         newest = df.select(seq).orderBy(F.desc(seq)).limit(window)
-        edge = newest.agg(F.min(seq).alias("_edge"))
-        src = df.crossJoin(F.broadcast(edge))
-        marked = F.col(seq) >= F.col("_edge")
-    flagged = src.withColumn("recent", marked).drop("_edge")
+        marked = F.col(seq) >= newest.agg(F.min(seq)).scalar()
+    flagged = df.withColumn("recent", marked)
     recent = first_rows(flagged.where("recent"), order, min(n_recent, window))
     old = first_rows(flagged.where("not recent"), order, n - n_recent)
     return recent.unionByName(old)
@@ -146,16 +142,12 @@ def sample_prioritized(
     u = (hash_number(hash_order(F.col(seq), seed)) + 1) / F.lit(2.0**32 + 1)
     weighted = df.withColumn("_w", F.pow(priority, F.lit(alpha)))
     drawn = first_rows(weighted, F.struct((-F.ln(u) / F.col("_w")).alias("k"), F.col(seq)), n)
-    mass = weighted.agg(F.sum("_w").alias("_mass"))
-    raw = drawn.crossJoin(F.broadcast(mass)).withColumn(
-        "weight", F.pow(F.lit(float(size)) * F.col("_w") / F.col("_mass"), F.lit(-next_beta(beta)))
-    )
-    top = raw.agg(F.max("weight").alias("_top"))
-    return (
-        raw.crossJoin(F.broadcast(top))
-        .withColumn("weight", F.col("weight") / F.col("_top"))
-        .drop("_w", "_mass", "_top")
-    )
+    mass = weighted.agg(F.sum("_w")).scalar()
+    raw = F.pow(F.lit(float(size)) * F.col("_w") / mass, F.lit(-next_beta(beta)))
+    # The largest correction belongs to the smallest weight that was drawn.
+    rarest = drawn.agg(F.min("_w")).scalar()
+    top = F.pow(F.lit(float(size)) * rarest / mass, F.lit(-next_beta(beta)))
+    return drawn.withColumn("weight", raw / top).drop("_w")
 
 
 def update_priorities(df: DataFrame, errors: DataFrame, key: str = "seq", floor: float = 1.0) -> DataFrame:
@@ -164,10 +156,10 @@ def update_priorities(df: DataFrame, errors: DataFrame, key: str = "seq", floor:
     ``df.priority`` is null for rows that are new; ``errors(key, td_error)``.
     """
     fresh = errors.select(key, (F.abs("td_error") + F.lit(1e-6)).alias("_new"))
-    tops = [df.agg(F.max("priority").alias("p")), fresh.agg(F.max("_new").alias("p"))]
-    top = tops[0].unionByName(tops[1]).agg(F.greatest(F.max("p"), F.lit(floor)).alias("_top"))
-    joined = df.join(fresh, key, "left").crossJoin(F.broadcast(top))
-    return joined.withColumn("priority", F.coalesce("_new", "priority", "_top")).drop("_new", "_top")
+    tops = [df.agg(F.max("priority")).scalar(), fresh.agg(F.max("_new")).scalar()]
+    joined = df.join(fresh, key, "left")
+    top = F.greatest(*tops, F.lit(floor))
+    return joined.withColumn("priority", F.coalesce(F.col("_new"), F.col("priority"), top)).drop("_new")
 
 
 def td_target(reward: Column, next_value: Column, done: Column, gamma: float = 0.99) -> Column:
@@ -255,22 +247,20 @@ def buffer_stats(
     df: DataFrame, capacity: int, threshold: float = 0.0, seq: str = "seq", reward: str = "reward", step: str = "step"
 ) -> DataFrame:
     """Size, utilisation, reward statistics and rejections of a bounded selective buffer."""
-    attempts = df.agg(F.count(F.lit(1)).alias("total_attempts"))
     stored = keep_informative(df, threshold)
-    n_stored = stored.agg(F.count(F.lit(1)).alias("_stored"))
+    n = F.count(F.lit(1))
     held = retain(stored, capacity, seq).agg(
         F.count(F.lit(1)).alias("size"),
         F.coalesce(F.avg(reward), F.lit(0.0)).alias("mean_reward"),
         F.coalesce(F.stddev_pop(reward), F.lit(0.0)).alias("std_reward"),
         F.coalesce(F.avg(step), F.lit(0.0)).alias("mean_episode_length"),
     )
-    row = held.crossJoin(attempts).crossJoin(n_stored)
-    rejected = F.col("total_attempts") - F.col("_stored")
-    rate = rejected / F.greatest("total_attempts", F.lit(1))
+    row = held.withColumn("total_attempts", df.agg(n).scalar())
+    rejected = F.col("total_attempts") - stored.agg(n).scalar()
+    rate = F.col("rejected_count") / F.greatest("total_attempts", F.lit(1))
     return (
         row.withColumn("utilization", F.col("size") / capacity)
         .withColumn("rejected_count", rejected)
         .withColumn("rejection_rate", rate)
-        .withColumn("memory_savings", F.format_string("%.1f%%", rate * 100))
-        .drop("_stored")
+        .withColumn("memory_savings", F.format_string("%.1f%%", F.col("rejection_rate") * 100))
     )

@@ -103,9 +103,8 @@ def codebook_usage(assigned: DataFrame, codebook: DataFrame) -> DataFrame:
 
 def usage_report(usage: DataFrame, value: str = "n") -> DataFrame:
     """Active and dead codes, utilisation and spread of the usage; dead is under 1% of the mean."""
-    mean = usage.agg(F.avg(value).alias("_mean"))
     u = F.col(value)
-    joined = usage.crossJoin(F.broadcast(mean))
+    joined = usage.withColumn("_mean", usage.agg(F.avg(value)).scalar())
     limit = F.col("_mean") * F.lit(0.01)
     return joined.agg(
         F.count_if(u > limit).alias("active_codes"),
@@ -120,9 +119,7 @@ def usage_report(usage: DataFrame, value: str = "n") -> DataFrame:
 
 def normalised_usage(usage: DataFrame, value: str = "n") -> DataFrame:
     """Share of each concept in the whole usage."""
-    total = usage.agg(F.sum(value).alias("_t"))
-    joined = usage.crossJoin(F.broadcast(total))
-    return joined.withColumn("share", F.try_divide(value, "_t")).drop("_t")
+    return usage.withColumn("share", F.try_divide(F.col(value), usage.agg(F.sum(value)).scalar()))
 
 
 def codebook_perplexity(usage: DataFrame, value: str = "n") -> DataFrame:
@@ -153,11 +150,11 @@ def update_codebook(
         .otherwise(F.zip_with("total", "_sum", lambda t, s: keep * t + add * s))
         .alias("total"),
     )
-    whole = moved.agg(F.sum("_size").alias("_all"), F.count(F.lit(1)).alias("_k"))
     eps = F.lit(1e-5)
-    smooth = (F.col("_size") + eps) / (F.col("_all") + F.col("_k") * eps) * F.col("_all")
+    whole = moved.agg(F.struct(F.sum("_size").alias("all"), F.count(F.lit(1)).alias("k")).alias("w"))
+    smooth = (F.col("_size") + eps) / (F.col("_w.all") + F.col("_w.k") * eps) * F.col("_w.all")
     return (
-        moved.crossJoin(F.broadcast(whole))
+        moved.withColumn("_w", whole.scalar())
         .withColumn("size", smooth)
         .withColumn("vec", F.transform("total", lambda t: t / F.col("size")))
         .select("concept_id", "size", "total", "vec")
@@ -180,14 +177,15 @@ def reset_dead_codes(state: DataFrame, dim: int, min_usage: float = 0.01, seed:
     """
     # The state is read several times below, and it is small next to the vectors behind it.
     state = cut_lineage(state)
-    mean = state.agg(F.avg("size").alias("_mean"))
-    flagged = state.crossJoin(F.broadcast(mean)).withColumn("dead", F.col("size") < F.col("_mean") * F.lit(min_usage))
+    flagged = state.withColumn("_mean", state.agg(F.avg("size")).scalar()).withColumn(
+        "dead", F.col("size") < F.col("_mean") * F.lit(min_usage)
+    )
     # The codebook is the bounded side of every assignment, so ranking its codes fits one task.
     rank = F.row_number().over(Window.orderBy("concept_id")) - 1
     active = flagged.where("not dead").withColumn("_at", rank).select("_at", F.col("vec").alias("_src"))
-    n_active = active.agg(F.count(F.lit(1)).alias("_n"))
-    pick = F.pmod(hash_number(hash_order(F.col("concept_id"), seed)), F.col("_n"))
-    dead = flagged.where("dead").crossJoin(F.broadcast(n_active)).withColumn("_at", pick).join(active, "_at")
+    n_active = active.agg(F.count(F.lit(1))).scalar()
+    pick = F.pmod(hash_number(hash_order(F.col("concept_id"), seed)), n_active)
+    dead = flagged.where("dead").withColumn("_at", pick).join(active, "_at")
     noise = F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _gauss(F.col("concept_id"), i, seed) * F.lit(0.1)
     )

@@ -178,8 +178,8 @@ def last_rows(df: DataFrame, seq: str, n: int, limit: int | None = None) -> Data
     if n <= 0:
         return df.limit(0)
     if n <= TOP_ROWS:
-        cut = df.select(seq).orderBy(F.desc(seq)).limit(n).agg(F.min(seq).alias("_cut"))
-        return df.join(F.broadcast(cut), F.col(seq) >= F.col("_cut")).drop("_cut")
+        cut = df.select(seq).orderBy(F.desc(seq)).limit(n).agg(F.min(seq))
+        return df.where(F.col(seq) >= cut.scalar())
     total = df.count()
     numbered = with_position(df, [], [seq], "_from", limit)
     return numbered.where(F.col("_from") >= total - n).drop("_from")

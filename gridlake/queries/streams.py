@@ -22,7 +22,7 @@ def stream(spark, sf_dir, name):
 select k as content_key, 1::bigint as n from k group by k""")
 def stream_dedup(spark, sf_dir):
     out = work_dir(spark, "stream-dedup")
-    docs = Q.distinct_keys(stream(spark, sf_dir, "documents").select("doc_id", "text")).select("content_key")
+    docs = Q.distinct_keys(stream(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("content_key")
     Q.write_append(docs, f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").groupBy("content_key").agg(F.count("*").alias("n"))
 

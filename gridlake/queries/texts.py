@@ -356,3 +356,43 @@ def concept_decode(spark, sf_dir):
     )
     out = X.decode_concepts(sequences, concepts, CONCEPTS)
     return out.select(F.col("seq_id").alias("doc_id"), "text")
+
+
+@query(f"""with {WORDS_SQL},
+steps as (select doc_id, (unnest(range(len(ws))))::int as pos, unnest(ws) as w from word_lists),
+stops as (select doc_id, min(pos) as s from steps where length(w) > 12 group by doc_id)
+select doc_id, count(*) as kept, max(pos) as last from steps left join stops using (doc_id) where s is null or pos < s group by doc_id""")
+def stop_cut(spark, sf_dir):
+    """Words of each document before its first word of more than twelve letters."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    steps = docs.select("doc_id", F.posexplode(X.words(F.col("text"))).alias("pos", "w"))
+    kept = X.cut_at_stop(steps, ["doc_id"], "pos", F.length("w") > 12)
+    return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.max("pos").alias("last"))
+
+
+@query(f"""with {WORDS_SQL}
+select doc_id, (len(ws) % 7)::int as concept_id, list_transform(ws[1:3], lambda w: length(w)::int)[1] as first_token,
+  len(ws[1:3])::int as n_tokens, coalesce(ws[1], '') as text, lang from word_lists join documents using (doc_id)""")
+def expansion_json(spark, sf_dir):
+    """Expansion tables written as JSON with text keys and read back with integer ones."""
+    docs = table(spark, sf_dir, "documents")
+    ws = X.words(F.col("text"))
+    rows = docs.select("doc_id", "lang", ws.alias("ws"))
+    cid = (F.size("ws") % 7).cast("int")
+    lengths = F.transform(F.slice("ws", 1, 3), lambda w: F.length(w))
+    written = rows.select(
+        "doc_id",
+        X.expansions_to_json(F.create_map(cid, lengths), F.create_map(cid, F.coalesce(F.get("ws", F.lit(0)), F.lit("")))).alias("j"),
+        X.metadata_to_json(F.create_map(F.lit("lang"), F.col("lang"))).alias("m"),
+    )
+    back = written.select("doc_id", X.expansions_from_json(F.col("j")).alias("e"), X.metadata_from_json(F.col("m")).alias("m"))
+    key = F.get(F.map_keys("e.expansions"), F.lit(0))
+    tokens = F.try_element_at("e.expansions", key)
+    return back.select(
+        "doc_id",
+        key.alias("concept_id"),
+        F.get(tokens, F.lit(0)).alias("first_token"),
+        F.size(tokens).alias("n_tokens"),
+        F.try_element_at("e.texts", key).alias("text"),
+        F.try_element_at("m", F.lit("lang")).alias("lang"),
+    )

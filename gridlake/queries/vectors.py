@@ -338,13 +338,13 @@ e as (select *, exp(z - max(z) over (partition by label)) as e from f),
 p as (select *, e / sum(e) over (partition by label) as p from e),
 ent as (select label, -sum(p * ln(p + 1e-8::double)) as entropy from p group by label)
 select label, i::int as dim, round(sum(p * embedding[i + 1]::double), 6) as pooled, round(max(entropy), 6) as entropy
-from p join ent using (label), range(16) t(i) group by label, i""")
+from p join ent using (label), range(64) t(i) group by label, i""")
 def attention_pool(spark, sf_dir):
     """All vectors of a label pooled with weights from their last dimension."""
     feats = table(spark, sf_dir, "embeddings").select(
         "label", "embedding", (F.get("embedding", F.lit(63)).cast("double") * 3).alias("z")
     )
-    out = V.attention_pool(feats, ["label"], "z", "embedding", 16)
+    out = V.attention_pool(feats, ["label"], "z", "embedding", DIM)
     rows = out.select("label", "entropy", F.posexplode("pooled").alias("dim", "pooled"))
     return rows.select("label", "dim", F.round("pooled", 6).alias("pooled"), F.round("entropy", 6).alias("entropy"))
 

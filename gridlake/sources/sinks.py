@@ -33,14 +33,21 @@ def _by_group(df: DataFrame) -> DataFrame:
 
 
 def compact(
-    spark: SparkSession, batches_path: str, chunks_path: str, mapping_path: str, per_chunk: int = M.BATCHES_PER_CHUNK
+    spark: SparkSession,
+    batches_path: str,
+    chunks_path: str,
+    mapping_path: str,
+    per_chunk: int = M.BATCHES_PER_CHUNK,
+    schema=None,
 ) -> DataFrame:
     """Write every complete chunk, record its batches and return the batches that may be deleted.
 
-    Unreadable files are skipped.  A chunk replaces its own folder, so a repeated run after a failure
+    Unreadable files are skipped; with ``schema`` no file has to be opened to learn it.  A chunk replaces its own folder, so a repeated run after a failure
     leaves one copy.  Nothing is deleted here.
     """
-    source = spark.read.option("ignoreCorruptFiles", True).parquet(batches_path)
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", True)
+    source = reader.parquet(batches_path)
     mapping = (
         spark.read.parquet(mapping_path)
         if exists(spark, mapping_path)

@@ -37,7 +37,7 @@ def continuous_build(out: str, order: list[str], text: str = "text", batch_size:
     """Samples -> content key -> skip known keys -> numbered batches.
 
     Writes ``batches`` (rows with ``content_key`` and ``batch_id``), ``keys`` and ``counts`` under
-    ``out``.  Of equal new samples the first in ``order`` is kept.
+    ``out``.  Of equal new samples the first in ``order``, a total order, is kept.
     """
     batches, keys, counts = (EpochTable(f"{out}/{name}") for name in ("batches", "keys", "counts"))
 
@@ -48,11 +48,8 @@ def continuous_build(out: str, order: list[str], text: str = "text", batch_size:
         # Copies of one text meet as one row per task, not as rows.
         firsts = keyed.groupBy("content_key").agg(F.min(F.struct(*order)).alias("_first"))
         fresh = firsts.join(known, "content_key", "left_anti")
-        new = keyed.join(
-            fresh.select(F.col("content_key").alias("_k"), "_first"),
-            (F.col("content_key") == F.col("_k")) & (F.struct(*order) == F.col("_first")),
-            "left_semi",
-        )
+        # Found again by their place in the order, which is unique, and not by the shared key.
+        new = keyed.join(fresh.select("_first"), F.struct(*order) == F.col("_first"), "left_semi")
         done = counts.before(spark, epoch, "n_batches bigint").agg(F.coalesce(F.sum("n_batches"), F.lit(0))).first()[0]
         numbered = numbered_batches(new, order, batch_size).withColumn("batch_id", F.col("batch_id") + F.lit(done))
         batches.write(numbered, epoch)
