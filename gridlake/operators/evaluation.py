@@ -107,8 +107,13 @@ def pass_at_k_report(
 
 
 def tally(predictions: DataFrame) -> DataFrame:
-    """Votes, mean quality and first sequence number per (name, input, prediction)."""
-    return predictions.groupBy("name", "input_hash", "pred_hash").agg(
+    """Votes, mean quality and first sequence number per (name, input, prediction).
+
+    A row without a prediction is no vote.  Saying so here keeps every use of the tally on one plan,
+    so that its shuffle is computed once and reused.
+    """
+    keys = ["name", "input_hash", "pred_hash"]
+    return predictions.dropna(subset=keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("votes"), F.avg("q").alias("quality"), F.min("seq").alias("first_seq")
     )
 

@@ -236,10 +236,12 @@ def epoch_batches(
     picked = puzzles.groupBy("set_name", "group_id").agg(
         F.min(F.struct(draw.alias("h"), "puzzle_id", "size")).alias("p")
     ).select("set_name", "group_id", "p.puzzle_id", "p.size")
+    # One short row per group is left of the puzzles; it is measured, ranked and numbered below.
+    picked = cut_lineage(picked)
     ranked = epoch_order(picked, ["set_name"], ["group_id"], seed, epoch)
     sharded = stride_shards(ranked, "rank", shards)
     # A lane is one (set, shard); the sets are few and are numbered by name.
-    sets = puzzles.select("set_name").distinct()
+    sets = picked.select("set_name").distinct()
     number = F.row_number().over(Window.orderBy("set_name")) - 1
     lanes = sharded.join(broadcast_if_small(sets.withColumn("_set", number)), "set_name").withColumn(
         "lane", F.col("_set") * shards + F.col("shard")

@@ -152,7 +152,7 @@ nums as (
 
 def order_answers(spark, sf_dir):
     """Orders with a sentence that states their price, rightly or not."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
     p = F.col("p")
     forms = [
         F.concat(F.lit("The answer is "), p, F.lit(" of 99")),
