@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridlake.functions import grid as G
 from gridlake.functions.arrays import bound, let, upto

@@ -113,7 +113,8 @@ def tally(predictions: DataFrame) -> DataFrame:
     so that its shuffle is computed once and reused.
     """
     keys = ["name", "input_hash", "pred_hash"]
-    return predictions.dropna(subset=keys).groupBy(*keys).agg(
+    given = F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull() & F.col(keys[2]).isNotNull()
+    return predictions.where(given).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("votes"), F.avg("q").alias("quality"), F.min("seq").alias("first_seq")
     )
 

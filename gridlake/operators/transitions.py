@@ -141,7 +141,7 @@ def sample_prioritized(
     n, size = _clamped(df, n)
     u = (hash_number(hash_order(F.col(seq), seed)) + 1) / F.lit(2.0**32 + 1)
     weighted = df.withColumn("_w", F.pow(priority, F.lit(alpha)))
-    drawn = first_rows(weighted, F.struct((-F.ln(u) / F.col("_w")).alias("k"), F.col(seq)), n)
+    drawn = first_rows(weighted, [-F.ln(u) / F.col("_w"), F.col(seq)], n)
     mass = weighted.agg(F.sum("_w")).scalar()
     raw = F.pow(F.lit(float(size)) * F.col("_w") / mass, F.lit(-next_beta(beta)))
     # The largest correction belongs to the smallest weight that was drawn.

@@ -8,6 +8,7 @@ one task the plain window is used; otherwise the order is cut into blocks of bou
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -29,15 +30,33 @@ def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def order_key(df: DataFrame, name: str) -> Column:
-    """A DOUBLE that never decreases when the column grows, whatever the column's type."""
-    kind, col = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return col.cast("timestamp").cast("double")
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return col.cast("double")
+LEVELS = 4
+
+
+def order_keys(df: DataFrame, order: list[str]) -> list[Column]:
+    """Doubles that never decrease along ``order``; each next one refines ties of those before it.
+
+    Text is read six bytes at a time, after the prefix that its smallest and largest value share and
+    with them every value in between.
+    """
+    keys: list[Column] = []
+    for name in order:
+        kind, col = df.schema[name].dataType, F.col(name)
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            keys.append(col.cast("timestamp").cast("double"))
+        elif isinstance(kind, T.StringType):
+            ends = [x.encode() for x in df.agg(F.min(name), F.max(name)).first() if x is not None]
+            shared = len(os.path.commonprefix(ends)) if ends else 0
+            for start in (shared + 1, shared + 7):
+                part = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), start, 6)), 12, "0")
+                keys.append(F.conv(part, 16, 10).cast("double"))
+        elif isinstance(kind, T.NumericType):
+            keys.append(col.cast("double"))
+        else:
+            break  # no number stands for this type; rows tied so far share a block
+        if len(keys) >= LEVELS:
+            break
+    return keys[:LEVELS]
 
 
 def _bucket(df: DataFrame, key: Column, out: str, blocks: int) -> tuple[DataFrame, list[float]]:
@@ -55,18 +74,20 @@ def _bucket(df: DataFrame, key: Column, out: str, blocks: int) -> tuple[DataFram
 def with_block(df: DataFrame, order: list[str], total: int, rows: int, out: str = "_blk") -> DataFrame:
     """Cut the table into order-preserving blocks of about ``rows`` rows.
 
-    Equal values of the first order column share a block, unless they alone fill several blocks:
-    such values are cut again by the second order column.
+    Equal values of the first order key share a block, unless they alone fill several blocks: such
+    values are cut again by the next key.
     """
     blocks = min(MAX_BLOCKS, max(2, math.ceil(total / rows)))
-    cut, heavy = _bucket(df, order_key(df, order[0]), "_b1", blocks)
-    second = F.lit(0.0)
-    if heavy and len(order) > 1:
-        cut, _ = _bucket(cut, order_key(df, order[1]), "_b2", blocks)
-        # The bucket that starts at a heavy value may hold larger values too; they sort after it.
-        is_heavy = order_key(df, order[0]).isin(heavy)
-        second = F.when(is_heavy, F.col("_b2")).otherwise(F.lit(float(MAX_BLOCKS + 1)))
-    return cut.withColumn(out, F.struct(F.col("_b1").alias("a"), second.alias("b"))).drop("_b1", "_b2")
+    cut, parts, tied = df, [], F.lit(True)
+    keys = order_keys(df, order) or [F.lit(0.0)]
+    for i, key in enumerate(keys):
+        cut, heavy = _bucket(cut, key, f"_b{i}", blocks)
+        # A bucket that starts at a heavy value may hold larger values too; they sort after it.
+        parts.append(F.when(tied, F.col(f"_b{i}")).otherwise(F.lit(float(MAX_BLOCKS + 1))).alias(f"l{i}"))
+        if not heavy:
+            break
+        tied = tied & key.isin(heavy)
+    return cut.withColumn(out, F.struct(*parts)).drop(*[f"_b{i}" for i in range(len(parts))])
 
 
 def prefix_sums(
@@ -185,10 +206,12 @@ def last_rows(df: DataFrame, seq: str, n: int, limit: int | None = None) -> Data
     return numbered.where(F.col("_from") >= total - n).drop("_from")
 
 
-def first_rows(df: DataFrame, order: Column, n: int, limit: int | None = None) -> DataFrame:
-    """The ``n`` rows with the smallest unique order value."""
-    ordered = df.withColumn("_order", order)
+def first_rows(df: DataFrame, order: Column | list[Column], n: int, limit: int | None = None) -> DataFrame:
+    """The ``n`` rows that come first in a total order."""
+    parts = order if isinstance(order, list) else [order]
+    names = [f"_o{i}" for i in range(len(parts))]
+    ordered = df.withColumns(dict(zip(names, parts)))
     if n <= TOP_ROWS:
-        return ordered.orderBy("_order").limit(max(n, 0)).drop("_order")
-    numbered = with_position(ordered, [], ["_order"], "_from", limit)
-    return numbered.where(F.col("_from") < n).drop("_from", "_order")
+        return ordered.orderBy(*names).limit(max(n, 0)).drop(*names)
+    numbered = with_position(ordered, [], names, "_from", limit)
+    return numbered.where(F.col("_from") < n).drop("_from", *names)

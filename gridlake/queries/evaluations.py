@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlake.functions import numeric as N
-from gridlake.functions import text as X
 from gridlake.operators import evaluation as E
 from gridlake.plans.bounds import spread
 from gridlake.queries.fixtures import LOGITS, PREDICTIONS, TOKENS, logits, predictions, tokens

@@ -9,7 +9,6 @@ from gridlake.functions import text as X
 from gridlake.operators import evaluation as E
 from gridlake.operators import manifest as M
 from gridlake.plans import build as B
-from gridlake.plans.ordered import hash_order
 from gridlake.queries.evaluations import VOTE_SQL, vote_truth
 from gridlake.queries.fixtures import PAIRS, RAGGED, grids, pairs, predictions, ragged, text_sql
 from gridlake.queries.registry import query, table

@@ -85,16 +85,16 @@ def compare(spark, con, sf_dir, name, query, sql):
 def session(cores="8", partitions="8"):
     from pyspark.sql import SparkSession
 
+    from gridlake.session import configure
+
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        configure(SparkSession.builder)
+        .master(f"local[{cores}]")
         .appName("gridlake-tests")
         .config("spark.sql.shuffle.partitions", partitions)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

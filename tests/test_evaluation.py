@@ -1,6 +1,6 @@
 import math
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,7 +188,3 @@ def test_component_rules(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r[0] for r in df.select(M.component(F.col("n"))).collect()]
     assert got == ["H_level", "L_level", "q_head", "memory", "embed", "lm_head", None]
-
-
-def test_vote_counter_sanity():
-    assert Counter("aab").most_common(1) == [("a", 2)]

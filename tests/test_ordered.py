@@ -89,3 +89,19 @@ def test_cut_lineage_keeps_rows(spark):
     cut = bounds.cut_lineage(df)
     assert cut.collect() == cut.collect()
     assert cut.count() == 50
+
+
+def test_long_common_prefixes_are_cut(spark):
+    """Paths that differ only near their end, and half of them in two levels."""
+    paths = [f"/warehouse/images/part-{i // 40:03d}/picture-of-something-{i:05d}.png" for i in range(400)]
+    df = spark.createDataFrame([(p,) for p in reversed(paths)], "path string")
+    blocked = ordered.with_block(df, ["path"], 400, 20)
+    assert blocked.groupBy("_blk").count().agg(F.max("count")).first()[0] <= 80
+    got = ordered.with_position(df, [], ["path"], limit=20).orderBy("pos").toPandas()
+    assert got["path"].tolist() == paths and got["pos"].tolist() == list(range(400))
+
+
+def test_order_by_struct_falls_back_to_one_block(spark):
+    df = spark.range(30).select(F.struct("id").alias("s"))
+    got = ordered.with_position(df, [], ["s"], limit=5).orderBy("pos").collect()
+    assert [r.s.id for r in got] == list(range(30))

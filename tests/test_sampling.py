@@ -104,6 +104,18 @@ def test_samples_have_no_duplicates(spark):
     assert max(r.weight for r in R.sample_prioritized(df, 60, 1).collect()) == 1.0
 
 
+@pytest.mark.parametrize("top", [10, 10**6])
+def test_large_samples_use_blocks(spark, small_tasks, monkeypatch, top):
+    from gridlake.plans import ordered
+
+    monkeypatch.setattr(ordered, "TOP_ROWS", top)
+    df = buffer(spark, 90)
+    got = [sorted(r.seq for r in f(df, 40, 3).collect()) for f in (R.sample_uniform, R.sample_prioritized)]
+    monkeypatch.setattr(ordered, "TOP_ROWS", 10**6)
+    want = [sorted(r.seq for r in f(df, 40, 3).collect()) for f in (R.sample_uniform, R.sample_prioritized)]
+    assert got == want
+
+
 def test_sample_edges(spark):
     assert R.sample_uniform(buffer(spark, 3), 10, 1).count() == 3
     few = R.sample_recent_mix(buffer(spark, 8), 8, 1).collect()
