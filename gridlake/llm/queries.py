@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from gridlake.llm.bpe import op3_bpe
+from gridlake.llm.neardup import op6_neardup
 from gridlake.llm.secrets import op7_secrets
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op6_neardup": op6_neardup,
     "op7_secrets": op7_secrets,
 }
 
