@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     joins have plain exchanges on both sides, so a hub with very many links is split at run time.
     Links with a null side are left out; no links give an empty table.
     """
-    links = links.where("a is not null and b is not null").select("a", "b")
+    # Cut before it is read four times below, so that the links are found only once.
+    links = cut_lineage(links.where("a is not null and b is not null").select("a", "b"))
     both = cut_lineage(
         links.where("a != b")
         .union(links.where("a != b").select("b", "a"))
