@@ -8,11 +8,12 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridlake.plans.bounds import cut_lineage
 from gridlake.queries.registry import table
 
-__all__ = ["WORD", "bounded_batches", "cut_lineage", "lower_ascii", "scalars", "slices", "table", "written"]
+__all__ = ["WORD", "bounded_batches", "cut_lineage", "labelled_sample", "lower_ascii", "scalars", "slices", "table", "written"]
 
 # Fixed value: a word is a run of code points other than the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,3 +63,19 @@ def written(df: DataFrame) -> DataFrame:
 def scalars(df: DataFrame) -> dict:
     """The one row of a global aggregate as a dict."""
     return df.first().asDict()
+
+
+def labelled_sample(labels: DataFrame, column: str, classes: list, most: int, seed: int) -> DataFrame:
+    """(doc_id, label): at most ``most`` documents of each class, in the order of a hash of their ids.
+
+    The bound makes the sample small enough to broadcast. A document with several labels has the last
+    of them in the order of the classes.
+    """
+    rank = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(column))
+    one = labels.where("doc_id is not null").where(rank > 0).groupBy("doc_id").agg(F.max_by(column, rank).alias("label"))
+    one = cut_lineage(one.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id")))
+    parts = [one.where(F.col("label") == c).orderBy("__h", "doc_id").limit(most) for c in classes]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.select("doc_id", "label")

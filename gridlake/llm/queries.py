@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from gridlake.llm.bpe import op3_bpe
+from gridlake.llm.language import op8_language
+from gridlake.llm.mixing import op10_mixing
 from gridlake.llm.neardup import op6_neardup
 from gridlake.llm.secrets import op7_secrets
 
@@ -10,6 +12,8 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op6_neardup": op6_neardup,
     "op7_secrets": op7_secrets,
+    "op8_language": op8_language,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}
