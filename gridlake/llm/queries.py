@@ -7,8 +7,13 @@ from gridlake.llm.language import op8_language
 from gridlake.llm.mixing import op10_mixing
 from gridlake.llm.neardup import op6_neardup
 from gridlake.llm.secrets import op7_secrets
+from gridlake.llm.sharding import op2_sharding
+from gridlake.llm.topk import SQL as TOPK_SQL
+from gridlake.llm.topk import op1_topk
 
 QUERIES = {
+    "op1_topk": op1_topk,
+    "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op6_neardup": op6_neardup,
     "op7_secrets": op7_secrets,
@@ -16,4 +21,6 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_topk": TOPK_SQL,
+}
