@@ -111,25 +111,28 @@ def children(paths: np.ndarray, tokens: np.ndarray, positions: int, threshold: f
             yield at, key
 
 
-def branch(rows: DataFrame, positions: int, threshold: float) -> DataFrame:
-    """Child nodes of (node, rep, tokens)."""
+def branch(rows: DataFrame, positions: int, threshold: float, carry: bool) -> DataFrame:
+    """Child nodes (node, rep) of (node, rep, n_shingles, tokens); ``carry`` takes the other columns along."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             paths = batch["node"].to_numpy(np.int64).view(np.uint64)
             tokens = np.frombuffer(b"".join(batch["tokens"]), np.uint32).reshape(len(batch), positions)
-            reps = batch["rep"].to_numpy(np.int64)
             for at, key in children(paths, tokens, positions, threshold):
-                yield pd.DataFrame({"node": key.view(np.int64), "rep": reps[at]})
+                out = batch.iloc[at][columns].copy()
+                out.insert(0, "node", key.view(np.int64))
+                yield out
 
-    return rows.select("node", "rep", "tokens").mapInPandas(deal, "node long, rep long")
+    columns = ["rep", "n_shingles", "tokens"] if carry else ["rep"]
+    schema = "node long, rep long" + (", n_shingles long, tokens binary" if carry else "")
+    return rows.select("node", "rep", "n_shingles", "tokens").mapInPandas(deal, schema)
 
 
 def roots(classes: DataFrame, trees: int, seed: int) -> DataFrame:
     """Every class at the root of every tree."""
     # Fixed by the seed alone, so a task that runs again deals its classes to the same nodes.
     keys = [int(np.uint64(hashed(seed, t)).view(np.int64)) for t in range(trees)]
-    return classes.select(F.explode(F.array(*[F.lit(k).cast("long") for k in keys])).alias("node"), "rep", "tokens")
+    return classes.select(F.explode(F.array(*[F.lit(k).cast("long") for k in keys])).alias("node"), "rep", "n_shingles", "tokens")
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -196,17 +199,19 @@ def candidate_links(classes: DataFrame, percent: int, trees: int, levels: int, s
     threshold = percent / 100
     found, rows = [], roots(classes, trees, seed)
     for level in range(levels):
-        nodes = cut_lineage(branch(rows, positions, threshold))
+        # The roots deal every class, so their tokens are fetched later, for classes that met another one.
+        nodes = written(branch(rows, positions, threshold, carry=level > 0))
         sizes = cut_lineage(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1"))
         members = nodes.join(sizes, "node")
-        near = members.where(F.col("n") <= small).select("node", "rep").join(classes, "rep")
+        near, large = members.where(F.col("n") <= small), members.where(F.col("n") > small)
+        if not level:
+            near = near.select("node", "rep").join(classes, "rep")
         found.append(cut_lineage(compare_nodes(near, positions, threshold - MARGIN, threshold).distinct()))
-        large = members.where(F.col("n") > small)
         if sizes.where(F.col("n") > small).isEmpty():
             break
         if level == levels - 1:
             found.append(large.where("first != rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-        rows = large.select("node", "rep").join(classes, "rep")
+        rows = large if level else written(large.select("node", "rep")).join(classes, "rep")
     return found
 
 
