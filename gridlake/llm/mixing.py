@@ -23,7 +23,7 @@ BUCKETS = 1 << 18
 #: Labelled documents of one domain that the classifier is fitted on, at most.
 SAMPLE = 1500
 STEPS = 40
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4
 #: What the anchor domain gets above its own size, so that its documents keep a rate of one or more.
 HEADROOM = 0.05
 EPOCHS = 8
