@@ -6,15 +6,20 @@ from gridlake.llm.bpe import op3_bpe
 from gridlake.llm.language import op8_language
 from gridlake.llm.mixing import op10_mixing
 from gridlake.llm.neardup import op6_neardup
+from gridlake.llm.quality import SQL as QUALITY_SQL
+from gridlake.llm.quality import op4_quality
 from gridlake.llm.secrets import op7_secrets
 from gridlake.llm.sharding import op2_sharding
 from gridlake.llm.topk import SQL as TOPK_SQL
 from gridlake.llm.topk import op1_topk
+from gridlake.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_neardup": op6_neardup,
     "op7_secrets": op7_secrets,
     "op8_language": op8_language,
@@ -23,4 +28,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_topk": TOPK_SQL,
+    "op4_quality": QUALITY_SQL,
 }
