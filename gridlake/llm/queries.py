@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gridlake.llm.bpe import op3_bpe
 from gridlake.llm.language import op8_language
+from gridlake.llm.lm import op9_lm
 from gridlake.llm.mixing import op10_mixing
 from gridlake.llm.neardup import op6_neardup
 from gridlake.llm.quality import SQL as QUALITY_SQL
@@ -23,6 +24,7 @@ QUERIES = {
     "op6_neardup": op6_neardup,
     "op7_secrets": op7_secrets,
     "op8_language": op8_language,
+    "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
 }
 
