@@ -30,7 +30,7 @@ WORD_END = "</w>"
 
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 SPACES = regex.compile(r"\p{White_Space}+")
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 300_000
 
 
 def default_path() -> str:

@@ -19,8 +19,8 @@ __all__ = ["WORD", "bounded_batches", "cut_lineage", "labelled_sample", "lower_a
 # Fixed value: a word is a run of code points other than the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-SLICE_CHARS = 4_000_000
-BATCH_BYTES = 32 << 20
+SLICE_CHARS = 1_000_000
+BATCH_BYTES = 8 << 20
 
 
 def lower_ascii(text: str) -> str:

@@ -58,7 +58,7 @@ def variety(words: int, distinct: int) -> str:
 class Words:
     """Features of words, kept for a partition."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __init__(self):
         self.at: dict[str, int] = {}

@@ -210,7 +210,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Scorer:
     """Scores of words, kept for a partition."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __init__(self, model: Model):
         self.model, self.at, self.scores = model, {}, np.empty(0)
