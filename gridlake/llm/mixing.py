@@ -92,6 +92,7 @@ class Classifier:
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = 0.1, least: int = 3) -> Classifier:
         words = Words()
+        words.MOST = float("inf")  # The sample is bounded, and its word numbers must stay.
         rows = [r for a, b in slices(texts) for r in words.rows(texts[a:b])[0]]
         features = words.features
         told = self.telling([np.unique(features[r]) for r in rows], labels, least)
