@@ -44,7 +44,8 @@ def slices(texts, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches sent to Python by bytes, so that batches of very long texts stay small."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if re.fullmatch(r"2147483647b?|-1", spark.conf.get(key)):
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
