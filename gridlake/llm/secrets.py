@@ -71,13 +71,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], path: str, max_ratio: float) -> list[tuple[int, int, int]]:
-    """Runs of a low characters-per-token ratio that touch no base span."""
-    found = []
+    """Runs of a low characters-per-token ratio that touch no base span; ``base`` is sorted by start."""
+    found, k, reach = [], 0, 0
     for m in RUN.finditer(text):
         run = m[0]
         if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or is_known(run):
             continue
-        if any(start < m.end() and m.start() < end for start, _, end in base):
+        while k < len(base) and base[k][0] < m.end():
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach > m.start():
             continue
         if len(run) / len(encoding(path).encode_ordinary(run)) < max_ratio:
             found.append((m.start(), 3, m.end()))

@@ -216,6 +216,8 @@ def test_secrets(docs, empty):
     spans = secrets.find_spans(overlap, path)
     assert [(overlap[a:b], k) for a, k, b in spans] == [(f"token={key}", 0), ("password=abcdef", 0)]
     assert secrets.redacted(overlap, spans, "#") == "# password=abc #"
+    many = " ".join(f"token={key}{i} {key}" for i in range(20_000))
+    assert collections.Counter(k for _, k, _ in secrets.find_spans(many, path)) == {0: 20_000, 3: 20_000}
     got = [r["t"] for r in docs.where("doc_id = 20").select(secrets.redact(F.col("text")).alias("t")).collect()]
     assert got == ["[SECRET]\" and [SECRET] [SECRET]"]
     row = docs.where("doc_id is null and text is null").select(secrets.digest(F.col("text")).alias("d")).first()["d"]
