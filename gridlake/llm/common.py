@@ -20,6 +20,8 @@ __all__ = ["WORD", "bounded_batches", "cut_lineage", "labelled_sample", "lower_a
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 SLICE_CHARS = 1_000_000
+#: Longest text, in characters, that a classifier is fitted on; with the size of the sample it bounds what reaches the driver.
+LONGEST = 200_000
 BATCH_BYTES = 8 << 20
 
 

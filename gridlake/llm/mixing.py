@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import WORD, bounded_batches, labelled_sample, slices, table, written
+from gridlake.llm.common import LONGEST, WORD, bounded_batches, labelled_sample, slices, table, written
 
 BUCKETS = 1 << 18
 #: Labelled documents of one domain that the classifier is fitted on, at most.
@@ -216,12 +216,14 @@ def mix(
     headroom: float = HEADROOM,
     steps: int = STEPS,
     sample: int = SAMPLE,
+    longest: int = LONGEST,
     seed: int = 10,
 ) -> DataFrame:
     """doc_id, n_tokens, domain, posteriors, rate, copies, selected for every row of docs(doc_id, text).
 
     ``labels`` has doc_id and domain; rows with a null or unknown domain and repeated rows of a
-    document are left out, and at most ``sample`` documents of a domain are fitted on. A document is
+    document are left out, and at most ``sample`` documents of a domain are fitted on, of those
+    the ones of up to ``longest`` characters and the first by text of rows that repeat a doc_id. A document is
     selected if its fixed uniform number is under its rate, so rates of one or more are always
     selected; copies is the rate rounded up or down by the same number. Null, empty and word-free
     texts have no tokens, weigh nothing and get the rate of their posterior. Ties between domains go to
@@ -232,7 +234,7 @@ def mix(
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = labelled_sample(labels.where(F.col("domain").isin(domains)), "domain", domains, sample, seed)
-    rows = docs.join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "text", "label").collect()
+    rows = docs.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest).groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
     model = Classifier(domains)
     if len({r["label"] for r in rows}) > 1:

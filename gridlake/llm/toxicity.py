@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import WORD, bounded_batches, labelled_sample, slices, table
+from gridlake.llm.common import LONGEST, WORD, bounded_batches, labelled_sample, slices, table
 
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -242,15 +242,16 @@ def score(text: Column, model: Model):
     return probability(text)
 
 
-def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Model | None:
+def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 5, longest: int = LONGEST) -> Model | None:
     """Model of docs(doc_id, text) and labels(doc_id, toxic); at most ``sample`` documents of each class are read.
 
-    Labels that are null or neither 0 nor 1 are left out, and a document with both counts as toxic.
+    Of those, texts longer than ``longest`` characters are left out, and of rows that repeat a doc_id only
+    the first by text counts, so that the sample stays small. Labels that are null or neither 0 nor 1 are left out, and a document with both counts as toxic.
     None where there are not both classes.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = labelled_sample(known, "toxic", [0, 1], sample, seed)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text is not null").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest).groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
     if len({r["label"] for r in rows}) < 2:
         return None

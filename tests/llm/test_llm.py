@@ -310,6 +310,11 @@ def test_mixing_meets_targets_and_keeps_clean_documents(spark, docs, empty):
     assert all(x["rate"] >= 0 and x["copies"] in (math.floor(x["rate"]), math.floor(x["rate"]) + 1) for x in got)
     plain = collected(mixing.mix(docs, known.limit(0)))
     assert len(plain) == docs.count()
+    # Rows that repeat an id and texts beyond the bound don't change what is learned.
+    more = table.union(table.where("doc_id = 1")).union(spark.createDataFrame([(601, "stone " * 40_000)], "doc_id long, text string"))
+    long = known.union(spark.createDataFrame([(601, "toxic")], "doc_id long, domain string"))
+    p = {x["doc_id"]: x["p_toxic"] for x in collected(mixing.mix(more, long))}
+    assert max(abs(p[x["doc_id"]] - x["p_toxic"]) for x in got) < 0.02
     assert mixing.mix(empty, known).count() == 0
 
 
