@@ -68,7 +68,9 @@ def assign_shards(docs: DataFrame, shards: int = 8, strata: str = "source", seed
     buckets = min(MOST_BUCKETS, max(1, -(-total // BUCKET_ROWS)))
     order = ["__key", "doc_id", "size"]
     ranked = numbered(rows, ["__s"], share(F.col("__key")), order, buckets)
-    ranked = ranked.withColumn("__f", (F.col("__n") - F.lit(0.5)) / F.col("__of")).drop("__n", "__of")
+    # A source starts at a random place of its own within its first step, so that many small sources spread too.
+    start_at = share(F.md5(F.concat_ws(":", F.lit(str(seed)), "__s")))
+    ranked = ranked.withColumn("__f", (F.col("__n") - 1 + start_at) / F.col("__of")).drop("__n", "__of")
     placed = numbered(ranked, [], F.col("__f"), ["__f", *order, "__s"], buckets)
     at = F.col("__n") - 1
     # Shard s takes the places from ceil(s * total / shards) on.

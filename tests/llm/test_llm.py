@@ -92,6 +92,10 @@ def test_sharding_is_even_in_rows_and_sources(spark, docs, empty, tmp_path):
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
     counts = sharding.assign_shards(many).join(many, "doc_id").groupBy("source", "shard").count().groupBy("source").agg((F.max("count") - F.min("count")).alias("d"))
     assert max(r["d"] for r in counts.collect()) <= 2
+    # A thousand sources of one row beside a large one spread over all shards.
+    alone = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") < 1000, F.concat(F.lit("s"), "id")).otherwise("big").alias("source"))
+    singles = sharding.assign_shards(alone).where("doc_id < 1000").groupBy("shard").count()
+    assert all(80 <= r["count"] <= 175 for r in singles.collect()) and singles.count() == 8
     assert sharding.assign_shards(empty).count() == 0
     sharding.write_shards(many, str(tmp_path / "out"), shards=2)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 2
