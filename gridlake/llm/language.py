@@ -17,11 +17,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import bounded_batches, cut_lineage, slices, table
-from gridlake.plans.bounds import broadcast_if_small
+from gridlake.plans.bounds import broadcast_if_small, small_limit
 
 BUCKETS = 1 << 14
-#: Languages the model learns: the most frequent declared ones.
+#: Every declared language is learned; so many of them stand in one block of the model and of the host sums.
 LANGUAGES = 32
+#: Dense blocks a task keeps; of a model with more of them each is spread out again when it is used.
+KEPT_BLOCKS = 16
+#: Likelihoods (rows x languages) worked on at once.
+CELLS = 4_000_000
+#: Languages whose counts a task holds before it passes them on.
+HELD = 256
 #: Overlapping trigrams repeat evidence; this power of the likelihood undoes that.
 TEMPER = 0.3
 #: Chance that a declared language is the true one.
@@ -57,54 +63,89 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
+
+        def passed_on() -> Iterator[pd.DataFrame]:
+            for lang, counts in totals.items():
+                at = np.flatnonzero(counts)
+                yield pd.DataFrame({"lang": lang, "bucket": at, "n": counts[at]})
+            totals.clear()
+
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
                 values = texts.tolist()
                 for a, b in slices(values):
                     codes, _ = trigrams(values[a:b])
                     totals[lang] = totals.get(lang, 0) + np.bincount(codes, minlength=BUCKETS)
-        for lang, counts in totals.items():
-            at = np.flatnonzero(counts)
-            yield pd.DataFrame({"lang": lang, "bucket": at, "n": counts[at]})
+                if len(totals) >= HELD:
+                    yield from passed_on()
+        yield from passed_on()
 
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
     return rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class TextModel:
-    """Log likelihood of trigrams under each language, with one pseudo-count per bucket."""
+    """Log likelihood of trigrams under each language, with one pseudo-count per bucket.
+
+    ``counts`` has the buckets seen in each language and how often; blocks of ``LANGUAGES`` languages are
+    spread out to dense tables in the tasks.
+    """
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
         self.languages = languages
-        smooth = counts + 1.0
-        self.table = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
+        self.counts = counts
+        self.kept: dict[int, np.ndarray] = {}
+
+    def dense(self, first: int) -> np.ndarray:
+        """Log probabilities (bucket, language) of the block that starts at language ``first``."""
+        if first in self.kept:
+            return self.kept[first]
+        part = self.counts[first : first + LANGUAGES]
+        smooth = np.ones((BUCKETS, len(part)))
+        for k, (bucket, n) in enumerate(part):
+            smooth[bucket, k] += n
+        out = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
+        if len(self.languages) <= KEPT_BLOCKS * LANGUAGES:
+            self.kept[first] = out
+        return out
 
     def likelihoods(self, texts: list[str | None]) -> np.ndarray:
         """One row per text, one column per language; zeros for a text without trigrams."""
         out = np.zeros((len(texts), len(self.languages)))
-        for a, b in slices(texts):
-            codes, starts = trigrams(texts[a:b])
-            full = np.flatnonzero(np.diff(starts))
-            if len(full):
-                for k in range(len(self.languages)):
-                    out[a + full, k] = np.add.reduceat(self.table[codes, k].astype(np.float64), starts[full])
+        for first in range(0, len(self.languages), LANGUAGES):
+            dense = self.dense(first)
+            for a, b in slices(texts):
+                codes, starts = trigrams(texts[a:b])
+                full = np.flatnonzero(np.diff(starts))
+                if len(full):
+                    for k in range(dense.shape[1]):
+                        out[a + full, first + k] = np.add.reduceat(dense[codes, k].astype(np.float64), starts[full])
         return out
 
+    def row_slices(self, n: int) -> Iterator[tuple[int, int]]:
+        """Cuts of n rows whose likelihoods are worked on together."""
+        step = max(1, CELLS // max(1, len(self.languages)))
+        return ((a, min(n, a + step)) for a in range(0, n, step))
+
 
 def normal(logs: np.ndarray) -> np.ndarray:
     p = np.exp(logs - logs.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
-def fit_text_model(docs: DataFrame, most: int = LANGUAGES) -> TextModel:
-    """The model of docs(text, lang); at most ``most`` x 16384 counts reach the driver."""
+def language_tag(declared: Column) -> Column:
+    """The declared tag in lower case without region or script (en-US and EN are en), null where it is blank."""
+    tag = F.regexp_replace(F.lower(F.trim(declared)), r"(?s)^([a-z]{2,3})[-_].*$", "$1")
+    return F.when(tag != "", tag)
+
+
+def fit_text_model(docs: DataFrame) -> TextModel:
+    """The model of docs(text, lang); at most 16384 counts per declared language reach the driver."""
     counts = cut_lineage(count_trigrams(docs))
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    dense = np.zeros((BUCKETS, len(languages)))
-    for r in counts.where(F.col("lang").isin(languages)).toLocalIterator():
-        dense[r["bucket"], languages.index(r["lang"])] = r["n"]
-    return TextModel(languages, dense)
+    per_lang = counts.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))
+    found = {r["lang"]: (np.array(r["bucket"], np.uint16), np.array(r["n"], np.float64)) for r in per_lang.toLocalIterator()}
+    languages = sorted(found)
+    return TextModel(languages, [found[x] for x in languages])
 
 
 def suffix_of(url: Column) -> Column:
@@ -118,33 +159,46 @@ def host_of(url: Column) -> Column:
 
 def host_priors(rows: DataFrame, model: TextModel, strength: float) -> DataFrame:
     """(host, suffix, prior array) from rows(host, suffix, text)."""
-
-    @F.pandas_udf("array<double>")
-    def alone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            values = texts.tolist()
-            # A text without evidence says nothing about its host.
-            logs = model.likelihoods(values)
-            p = np.where((logs == 0).all(axis=1, keepdims=True), 0.0, normal(TEMPER * logs))
-            yield pd.Series(list(p), dtype=object)
-
     n = len(model.languages)
-    names = [f"__p{k}" for k in range(n)]
-    per_host = rows.select("host", "suffix", alone("text").alias("p")).groupBy("host", "suffix")
-    hosts = cut_lineage(per_host.agg(*[F.sum(F.col("p")[k]).alias(c) for k, c in enumerate(names)]))
-
-    def smoothed(frame: DataFrame, wide: list[Column]) -> list[Column]:
-        total = sum((F.col(c) for c in names), F.lit(0.0))
-        return [(F.col(c) + strength * w) / (total + strength) for c, w in zip(names, wide)]
+    names = [f"__p{k}" for k in range(min(n, LANGUAGES))]
+    width = len(names)
 
-    overall = hosts.agg(*[F.sum(c).alias(c) for c in names])
-    everywhere = overall.select(*[x.alias(f"__g{k}") for k, x in enumerate(smoothed(overall, [F.lit(1.0 / n)] * n))]).first()
-    base = [F.lit(float(everywhere[k] if everywhere[k] is not None else 1.0 / n)) for k in range(n)]
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(c).alias(c) for c in names])
-    suffixes = suffixes.select("suffix", *[x.alias(f"__w{k}") for k, x in enumerate(smoothed(suffixes, base))])
-    joined = hosts.join(cut_lineage(suffixes), "suffix")
-    prior = F.array(*smoothed(joined, [F.col(f"__w{k}") for k in range(n)]))
-    return cut_lineage(joined.select(F.col("host").alias("__host"), F.col("suffix").alias("__suffix"), prior.alias("__prior")))
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums of what the texts of a host say, a row for each block of languages; ``__n`` is over all blocks."""
+        for batch in batches:
+            for a, b in model.row_slices(len(batch)):
+                part = batch.iloc[a:b]
+                # A text without evidence says nothing about its host.
+                logs = model.likelihoods(part["text"].tolist())
+                p = np.where((logs == 0).all(axis=1, keepdims=True), 0.0, normal(TEMPER * logs))
+                which = part.groupby(["host", "suffix"], sort=False)
+                number = which.ngroup().to_numpy()
+                order = np.argsort(number, kind="stable")
+                starts = np.searchsorted(number[order], np.arange(which.ngroups))
+                sums = np.add.reduceat(p[order], starts, axis=0)
+                keys = part.iloc[order[starts]][["host", "suffix"]].reset_index(drop=True)
+                for first in range(0, n, LANGUAGES):
+                    mine = sums[:, first : first + LANGUAGES]
+                    mine = np.pad(mine, ((0, 0), (0, width - mine.shape[1])))
+                    yield pd.concat([keys.assign(block=first // LANGUAGES, __n=sums.sum(axis=1)), pd.DataFrame(mine, columns=names)], axis=1)
+
+    added = [F.sum(c).alias(c) for c in ["__n", *names]]
+    schema = "host string, suffix string, block int, __n double, " + ", ".join(f"{c} double" for c in names)
+    hosts = cut_lineage(rows.select("host", "suffix", "text").mapInPandas(alone, schema).groupBy("host", "suffix", "block").agg(*added))
+
+    def smoothed(wide: list[Column]) -> list[Column]:
+        return [(F.col(c) + strength * w) / (F.col("__n") + strength) for c, w in zip(names, wide)]
+
+    wider = [F.col(f"__w{k}") for k in range(width)]
+    overall = hosts.groupBy("block").agg(*added)
+    everywhere = cut_lineage(overall.select("block", *[x.alias(f"__w{k}") for k, x in enumerate(smoothed([F.lit(1.0 / n)] * width))]))
+    suffixes = hosts.groupBy("suffix", "block").agg(*added).join(F.broadcast(everywhere), "block")
+    suffixes = cut_lineage(suffixes.select("suffix", "block", *[x.alias(f"__w{k}") for k, x in enumerate(smoothed(wider))]))
+    joined = hosts.join(suffixes, ["suffix", "block"])
+    parts = joined.select("host", "suffix", "block", F.array(*smoothed(wider)).alias("part"))
+    whole = parts.groupBy("host", "suffix").agg(F.sort_array(F.collect_list(F.struct("block", "part"))).alias("parts"))
+    prior = F.slice(F.flatten(F.col("parts.part")), 1, n)
+    return cut_lineage(whole.select(F.col("host").alias("__host"), F.col("suffix").alias("__suffix"), prior.alias("__prior")))
 
 
 def identify(
@@ -160,7 +214,8 @@ def identify(
 ) -> DataFrame:
     """The rows of docs with a struct ``language_id``: language, posterior, text_language, kept.
 
-    A null declared language is no evidence; null hosts and suffixes count as the empty one. A text
+    Declared languages count by their tag (``language_tag``), however many there are. A null or blank one
+    is no evidence; null hosts and suffixes count as the empty one. A text
     without a letter (null and empty texts too) has no language and is rejected, as is one whose best
     language has a posterior under ``least`` or is none of ``accepted`` (by default every language
     learned). Ties go to the language first in the alphabet. Repeated rows get equal verdicts. Where
@@ -168,7 +223,7 @@ def identify(
     """
     bounded_batches(docs.sparkSession)
     asked = docs.select(
-        F.col(text).alias("text"), declared.alias("lang"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(suffix, F.lit("")).alias("suffix")
+        F.col(text).alias("text"), language_tag(declared).alias("lang"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(suffix, F.lit("")).alias("suffix")
     )
     model = fit_text_model(asked)
     verdict = "language string, posterior double, text_language string, kept boolean"
@@ -182,26 +237,31 @@ def identify(
 
     @F.pandas_udf(verdict)
     def fuse(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        names = np.array(model.languages, dtype=object)
         for texts, langs, prior in batches:
-            values = texts.tolist()
-            logs = TEMPER * model.likelihoods(values)
-            alone = logs.argmax(axis=1)
-            logs = logs + np.log(np.stack(prior.to_numpy())) if len(values) else logs
+            values, priors_ = texts.tolist(), prior.to_numpy()
             said = np.array([place.get(x, -1) for x in langs], int)
-            rows = np.flatnonzero(said >= 0)
-            logs[rows] += np.log((1 - reliability) / max(1, n - 1))
-            logs[rows, said[rows]] += np.log(reliability) - np.log((1 - reliability) / max(1, n - 1))
-            p = normal(logs) if len(values) else logs
-            best = p.argmax(axis=1)
+            best, alone, posterior = np.zeros(len(values), int), np.zeros(len(values), int), np.zeros(len(values))
+            for a, b in model.row_slices(len(values)):
+                logs = TEMPER * model.likelihoods(values[a:b])
+                alone[a:b] = logs.argmax(axis=1)
+                logs = logs + np.log(np.stack(priors_[a:b]))
+                rows = np.flatnonzero(said[a:b] >= 0)
+                logs[rows] += np.log((1 - reliability) / max(1, n - 1))
+                logs[rows, said[a:b][rows]] += np.log(reliability) - np.log((1 - reliability) / max(1, n - 1))
+                p = normal(logs)
+                best[a:b] = p.argmax(axis=1)
+                posterior[a:b] = p[np.arange(b - a), best[a:b]]
             lettered = np.array([bool(t and LETTER.search(t)) for t in values], bool)
-            names = np.array(model.languages, dtype=object)
-            frame = pd.DataFrame({"language": names[best], "posterior": p[np.arange(len(values)), best], "text_language": names[alone]})
+            frame = pd.DataFrame({"language": names[best], "posterior": posterior, "text_language": names[alone]})
             frame.loc[~lettered, ["language", "text_language"]] = None
             frame["kept"] = lettered & (frame["posterior"].to_numpy() >= least) & np.array([x in allowed for x in frame["language"]], bool)
             yield frame
 
-    keyed = docs.withColumn("__host", F.coalesce(host, F.lit(""))).withColumn("__suffix", F.coalesce(suffix, F.lit(""))).withColumn("__declared", declared)
-    joined = keyed.join(broadcast_if_small(priors), ["__host", "__suffix"])
+    keyed = docs.withColumn("__host", F.coalesce(host, F.lit(""))).withColumn("__suffix", F.coalesce(suffix, F.lit(""))).withColumn("__declared", language_tag(declared))
+    # The limit is on rows of one block of languages.
+    limit = max(1, small_limit(docs) * LANGUAGES // max(n, LANGUAGES))
+    joined = keyed.join(broadcast_if_small(priors, limit), ["__host", "__suffix"])
     return joined.withColumn("language_id", fuse(text, "__declared", "__prior")).select(*[docs[c] for c in docs.columns if c != "language_id"], "language_id")
 
 

@@ -245,6 +245,29 @@ def test_language_fuses_text_declaration_and_host(spark, docs, empty):
     assert none.where("language_id.kept").count() == 0
 
 
+def test_language_learns_every_declared_language(spark, monkeypatch):
+    r = random.Random(8)
+    names = [f"{a}{b}" for a in "abcdefgh" for b in "klmnop"][:45]
+    words = {x: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(25)] for x in names}
+    said = [lambda x: x, str.upper, lambda x: f" {x}-US", lambda x: f"{x}_Latn_DE"]
+    # The last languages have the fewest texts.
+    rows = [(i, " ".join(r.choice(words[x]) for _ in range(40)), said[i % 4](x), None, x) for i, x in enumerate(x for k, x in enumerate(names) for _ in range(24 - k // 3))]
+    rows += [(9000 + k, " ".join(words[x]), [None, "  "][k % 2], None, x) for k, x in enumerate(names)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, want string").repartition(3)
+    got = language.identify_documents(table).select("want", "language_id.*").collect()
+    assert len(got) == len(rows) and all(x["language"] == x["want"] and x["kept"] for x in got)
+    monkeypatch.setattr(language, "HELD", 2)
+    asked = table.select("text", F.lower(F.substring(F.trim("lang"), 1, 2)).alias("lang"))
+    model = language.fit_text_model(asked.where("lang != ''"))
+    assert model.languages == sorted(names)
+    texts = [" ".join(words[x]) for x in model.languages] + [None, ""]
+    whole = model.likelihoods(texts)
+    monkeypatch.setattr(language, "KEPT_BLOCKS", 1)
+    monkeypatch.setattr(language, "LANGUAGES", 7)
+    assert (language.TextModel(model.languages, model.counts).likelihoods(texts) == whole).all()
+    assert whole[:45].argmax(axis=1).tolist() == list(range(45)) and not whole[45:].any()
+
+
 def test_language_of_pages_agrees_with_their_markup(spark):
     from conftest import SF_DIR
 
