@@ -26,16 +26,22 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
-# Runs the token test looks at; at least one digit and one letter, 20 or more characters.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+# Runs the token test looks at.
+LEAST_RUN = 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 IDENTIFIER = re.compile(r"[/_=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})[/_=+-]+)*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})[0-9]{0,4}[/_=+-]*")
+LETTERS = re.compile(r"[A-Za-z]+")
+NUMBERS = re.compile(r"[0-9/_=+-]+")
+LONG_NUMBER = re.compile(r"[0-9]{5,}")
 
 #: Characters per token below which a run counts as random. Words reach 3 to 5, random text about 1.5.
 MAX_RATIO = 2.2
 REDACTED = "[SECRET]"
+#: Characters encoded at once; the encoder's time may grow faster than the length of a word.
+PIECE = 4096
 
 
 def default_path() -> str:
@@ -55,10 +61,20 @@ def encoding(path: str):
 
 
 def is_known(run: str) -> bool:
-    """A digest of a usual length, a UUID, or an identifier made of words and short numbers."""
+    """A digest of a usual length, a UUID, or an identifier made of words and short numbers.
+
+    Letters as long as a run are no word of an identifier by their shape alone; their ratio tells.
+    """
     if len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run):
         return True
-    return bool(UUID.fullmatch(run) or IDENTIFIER.fullmatch(run))
+    if UUID.fullmatch(run) or (NUMBERS.fullmatch(run) and not LONG_NUMBER.search(run)):
+        return True
+    return bool(IDENTIFIER.fullmatch(run)) and all(len(w) < LEAST_RUN for w in LETTERS.findall(run))
+
+
+def ratio(run: str, path: str) -> float:
+    """Characters per token."""
+    return len(run) / sum(len(encoding(path).encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,20 +86,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def outside(start: int, end: int, covers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a run that no cover touches; ``covers`` is sorted by start."""
+    for a, b in covers:
+        if a > start:
+            yield start, min(a, end)
+        start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], path: str, max_ratio: float) -> list[tuple[int, int, int]]:
-    """Runs of a low characters-per-token ratio that touch no base span; ``base`` is sorted by start."""
+    """Runs, or their parts outside base spans, of a low characters-per-token ratio; ``base`` is sorted by start."""
     found, k, reach = [], 0, 0
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or is_known(run):
-            continue
+        # What begins before the run counts by how far it reaches.
+        covers = []
         while k < len(base) and base[k][0] < m.end():
-            reach = max(reach, base[k][2])
+            if base[k][0] > m.start():
+                covers.append((base[k][0], base[k][2]))
+            else:
+                reach = max(reach, base[k][2])
             k += 1
-        if reach > m.start():
-            continue
-        if len(run) / len(encoding(path).encode_ordinary(run)) < max_ratio:
-            found.append((m.start(), 3, m.end()))
+        for a, b in outside(max(m.start(), min(reach, m.end())), m.end(), covers):
+            part = text[a:b]
+            if b - a >= LEAST_RUN and not is_known(part) and ratio(part, path) < max_ratio:
+                found.append((a, 3, b))
+        reach = max([reach, *[b for _, b in covers]])
     return found
 
 

@@ -229,6 +229,23 @@ def test_secrets(docs, empty):
     assert empty.select(secrets.digest(F.col("text"))).count() == 0
 
 
+def test_secrets_without_digits_and_beside_fixed_patterns():
+    path, r = secrets.default_path(), random.Random(3)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters in (lower + upper, lower, upper):
+        keys = ["".join(r.choice(letters) for _ in range(24)) for _ in range(200)]
+        found = sum(secrets.find_spans(f"see {k} .", path) == [(4, 3, 28)] for k in keys)
+        assert found >= 190, (letters, found)
+    words = ["internationalization", "getElementByIdAndClassName", "Lebensversicherungsgesellschaft", "some_long_identifier_name_2024", "-" * 40, "+-" * 20, "1234-5678-9012-3456-7890"]
+    assert secrets.find_spans(" ".join(words), path) == []
+    key, access = "kJ8s0QzX7vLp2RtY9wBn4MhC6dFg", "AKIA" + "QZXWVKJHGFDSPLMN"
+    for text in (f"{access}/{key}", f"{key}/{access}", f"{key}/{access}/{key}", f"{key}/{'0123456789abcdef' * 2}/{access}"):
+        spans = secrets.find_spans(text, path)
+        assert sum(k == 3 for _, k, _ in spans) == text.count(key) and key not in secrets.redacted(text, spans, "#")
+    assert [k for _, k, _ in secrets.find_spans(f"{access}/short1", path)] == [1]
+    assert [k for _, k, _ in secrets.find_spans(f"token={key} {key}", path)] == [0, 3]
+
+
 def test_language_fuses_text_declaration_and_host(spark, docs, empty):
     lines = {"en": "the river and the house of the king were there with light", "de": "der Fluss und das Haus der Könige waren nicht ohne Licht"}
     rows = [(i, f"{lines[x]} {i} {lines[x]}", x, x) for i, x in enumerate(["en", "de"] * 40)]
