@@ -36,6 +36,8 @@ IDENTIFIER = re.compile(r"[/_=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})[/_=+-]+)
 LETTERS = re.compile(r"[A-Za-z]+")
 NUMBERS = re.compile(r"[0-9/_=+-]+")
 LONG_NUMBER = re.compile(r"[0-9]{5,}")
+PART = re.compile(r"[A-Za-z0-9]+")
+WORDY = re.compile(r"[A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,4}")
 
 #: Characters per token below which a run counts as random. Words reach 3 to 5, random text about 1.5.
 MAX_RATIO = 2.2
@@ -86,6 +88,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def random_parts(run: str, path: str, max_ratio: float) -> list[tuple[int, int]]:
+    """The run if its ratio is low; else what is left of it without readable words at its ends, or parts between delimiters."""
+
+    def is_random(a: int, b: int) -> bool:
+        return b - a >= LEAST_RUN and not is_known(run[a:b]) and ratio(run[a:b], path) < max_ratio
+
+    if is_known(run):
+        return []
+    if is_random(0, len(run)):
+        return [(0, len(run))]
+    parts = [m.span() for m in PART.finditer(run)]
+    readable = [b - a < LEAST_RUN and bool(WORDY.fullmatch(run, a, b)) and ratio(run[a:b], path) >= max_ratio for a, b in parts]
+    kept = [p for p, r in zip(parts, readable) if not r]
+    if not kept:
+        return []
+    a, b = kept[0][0], kept[-1][1]
+    while b < len(run) and run[b] == "=":
+        b += 1
+    return [(a, b)] if is_random(a, b) else [p for p in parts if is_random(*p)]
+
+
 def outside(start: int, end: int, covers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """The parts of a run that no cover touches; ``covers`` is sorted by start."""
     for a, b in covers:
@@ -97,7 +120,7 @@ def outside(start: int, end: int, covers: list[tuple[int, int]]) -> Iterator[tup
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], path: str, max_ratio: float) -> list[tuple[int, int, int]]:
-    """Runs, or their parts outside base spans, of a low characters-per-token ratio; ``base`` is sorted by start."""
+    """Parts of a low characters-per-token ratio of runs, outside base spans; ``base`` is sorted by start."""
     found, k, reach = [], 0, 0
     for m in RUN.finditer(text):
         # What begins before the run counts by how far it reaches.
@@ -109,9 +132,8 @@ def random_spans(text: str, base: list[tuple[int, int, int]], path: str, max_rat
                 reach = max(reach, base[k][2])
             k += 1
         for a, b in outside(max(m.start(), min(reach, m.end())), m.end(), covers):
-            part = text[a:b]
-            if b - a >= LEAST_RUN and not is_known(part) and ratio(part, path) < max_ratio:
-                found.append((a, 3, b))
+            if b - a >= LEAST_RUN:
+                found += [(a + x, 3, a + y) for x, y in random_parts(text[a:b], path, max_ratio)]
         reach = max([reach, *[b for _, b in covers]])
     return found
 

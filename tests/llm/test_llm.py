@@ -246,6 +246,23 @@ def test_secrets_without_digits_and_beside_fixed_patterns():
     assert [k for _, k, _ in secrets.find_spans(f"token={key} {key}", path)] == [0, 3]
 
 
+def test_secrets_behind_readable_text():
+    path, r = secrets.default_path(), random.Random(5)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for before, after in (("client-configuration-production/", ""), ("config/settings/production/key=", ""), ("", "/application/settings"), ("client-configuration-production/", "/application/settings")):
+        exact = 0
+        for _ in range(200):
+            key = "".join(r.choice(base62) for _ in range(24))
+            text = f"{before}{key}{after}"
+            spans = secrets.find_spans(text, path)
+            assert len(spans) == 1 and key not in secrets.redacted(text, spans, "#"), text
+            exact += spans[0] == (len(before), 3, len(before) + 24)
+        # A key that lowers the whole run's ratio enough has the run as its span.
+        assert exact >= 20
+    for text in ("usr/local/lib/python3/dist-packages/application", "2024/production/internationalization/settings2024", "src/main/java/org/apache/commons/collections4/iterators"):
+        assert secrets.find_spans(text, path) == []
+
+
 def test_language_fuses_text_declaration_and_host(spark, docs, empty):
     lines = {"en": "the river and the house of the king were there with light", "de": "der Fluss und das Haus der Könige waren nicht ohne Licht"}
     rows = [(i, f"{lines[x]} {i} {lines[x]}", x, x) for i, x in enumerate(["en", "de"] * 40)]
