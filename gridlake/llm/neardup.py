@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.llm.common import WORD, bounded_batches, cut_lineage, lower_ascii, slices, table, written
@@ -33,6 +33,8 @@ LARGEST_BLOCK = 8192
 #: A signature estimate has a deviation of at most 0.04 near the threshold; four of them below it still count.
 MARGIN = 0.15
 COLUMNS_AT_ONCE = 8192
+#: Sets on a side of a link matrix; larger groups are compared tile by tile.
+TILE = 1024
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
@@ -215,8 +217,11 @@ def candidate_links(classes: DataFrame, percent: int, trees: int, levels: int, s
     return found
 
 
-def linked_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Whether 100 * intersection >= percent * union, for all pairs of a small group; exact."""
+def linked_sets(sets: list[np.ndarray], percent: int, split: int | None = None) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union, for all pairs of a small group; exact.
+
+    With ``split``, for pairs of one of the first ``split`` sets and one of the others.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -228,60 +233,143 @@ def linked_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
     owner, column = owner[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    common = np.zeros((m, m), np.int64)
+    rows, columns = (slice(None), slice(None)) if split is None else (slice(split), slice(split, None))
+    common = np.zeros((len(sizes[rows]), len(sizes[columns])), np.int64)
     total = int(shared.sum())
     for start in range(0, total, COLUMNS_AT_ONCE):
         a, b = np.searchsorted(column, (start, start + COLUMNS_AT_ONCE))
         part = np.zeros((m, min(COLUMNS_AT_ONCE, total - start)), np.float32)
         part[owner[a:b], column[a:b] - start] = 1
-        common += (part @ part.T).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - common
+        common += (part[rows] @ part[columns].T).astype(np.int64)
+    union = sizes[rows, None] + sizes[None, columns] - common
     return 100 * common >= percent * union
 
 
-def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) confirmed on full sets, in every cluster (id, component) of class representatives.
+def merged(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Roots after the links (x, y); every root is the smallest member."""
+    while True:
+        a, b = parent[x], parent[y]
+        new = a != b
+        if not new.any():
+            return parent
+        np.minimum.at(parent, np.maximum(a[new], b[new]), np.minimum(a[new], b[new]))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
 
-    A cluster too large for one task is cut into blocks, and every pair of blocks is a task of its own.
-    """
-    sizes = cut_lineage(clusters.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"))
-    blocks = F.least(F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)), F.greatest(F.lit(MOST_BLOCKS), F.ceil(F.col("n") / LARGEST_BLOCK)))
-    members = clusters.join(sizes, "component").select(
-        "component", F.col("id").alias("doc_id"), blocks.cast("int").alias("blocks")
-    )
-    texts = docs.select("doc_id", "text").where("doc_id is not null").join(cut_lineage(members), "doc_id")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = batch["text"].tolist()
-            out = batch[["doc_id", "component", "blocks"]].copy()
-            out["shingles"] = [s.tobytes() for s in shingle_sets(values, width)]
-            yield out
+def group_links(ids: np.ndarray, known: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect each component of a group: its smallest id with every other.
 
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sets = (
-        texts.mapInPandas(read, "doc_id long, component long, blocks int, shingles binary")
-        .withColumn("own", own)
-        .withColumn("other", other)
-        .select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "doc_id", "shingles")
-    )
+    Memory is bounded by tiles of the link matrix. Pairs connected already, by equal ``known`` labels or
+    by links found so far, are passed over, which leaves the components as they are.
+    """
+    if len(ids) <= 2 * TILE and len(np.unique(known)) == len(ids):
+        return stars(ids, linked_sets(sets, percent))
+    order = np.argsort(ids, kind="stable")
+    ids, sets = ids[order], [sets[i] for i in order]
+    _, first, label = np.unique(known[order], return_index=True, return_inverse=True)
+    parent = first[label]
+    starts = range(0, len(ids), TILE)
+    for gap in range(len(starts)):
+        for i in range(len(starts) - gap):
+            left, right = (np.arange(starts[k], min(len(ids), starts[k] + TILE)) for k in (i, i + gap))
+            largest = np.bincount(parent).argmax()
+            apart = parent[left] != largest
+            for rows, columns in ((left[apart], right), (left[~apart], right[parent[right] != largest])):
+                if len(rows) and len(columns) and len(np.unique(parent[np.concatenate((rows, columns))])) > 1:
+                    x, y = np.nonzero(linked_sets([sets[k] for k in (*rows, *columns)], percent, len(rows)))
+                    parent = merged(parent, rows[x], columns[y])
+    other = np.flatnonzero(parent != np.arange(len(ids)))
+    return ids[parent[other]], ids[other]
+
+
+def compare_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the groups of sets(group, doc_id, known, shingles)."""
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in whole_groups(batches, "group"):
-            groups, ids = batch["group"].to_numpy(np.int64), batch["doc_id"].to_numpy(np.int64)
+            groups, ids, known = (batch[c].to_numpy(np.int64) for c in ("group", "doc_id", "known"))
             values = batch["shingles"].tolist()
             left, right = [], []
             for a, b in group_bounds(groups):
                 if b - a < 2:
                     continue
-                x, y = stars(ids[a:b], linked_sets([np.frombuffer(v, np.uint64) for v in values[a:b]], percent))
+                x, y = group_links(ids[a:b], known[a:b], [np.frombuffer(v, np.uint64) for v in values[a:b]], percent)
                 left.append(x)
                 right.append(y)
             if left:
                 yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
 
-    return sets.repartition("group").sortWithinPartitions("group").mapInPandas(confirm, "a long, b long").distinct()
+    return sets.repartition("group").sortWithinPartitions("group").mapInPandas(confirm, "a long, b long")
+
+
+def huge_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets(doc_id, component, n, shingles) in clusters of more than MOST_BLOCKS full blocks.
+
+    A first round compares each block with itself, and a block's worth of members of all blocks. It connects
+    most of a cluster of near copies. The second compares every set outside a cluster's largest part
+    with all others, so no pair of different parts is left out.
+    """
+    sets = written(sets)
+
+    def dealt(n: Column, salt: int) -> Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(n / LARGEST_BLOCK))
+
+    def in_group(rows: DataFrame, known: Column, *group: Column) -> DataFrame:
+        return rows.select(F.xxhash64("component", *group).alias("group"), "doc_id", known.alias("known"), "shingles")
+
+    n, alone = F.col("n"), F.col("doc_id")
+    own = in_group(sets, alone, F.lit("own"), dealt(n, 1))
+    across = in_group(sets.where(dealt(n, 2) == 0), alone, F.lit("across"))
+    links = cut_lineage(compare_groups(own.union(across), percent).distinct())
+    named = sets.select("doc_id", "component", "n").join(components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("found")), "doc_id", "left")
+    named = cut_lineage(named.select("doc_id", "component", F.coalesce("found", "doc_id").alias("part")))
+    parts = named.groupBy("component", "part").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("component").agg(F.max_by("part", F.struct("size", "part")).alias("largest"), (F.sum("size") - F.max("size")).alias("outside"))
+    largest = cut_lineage(largest.where("outside > 0"))
+    rest = sets.join(named, ["doc_id", "component"]).join(largest, "component").withColumn("is_out", F.col("part") != F.col("largest"))
+    outside = F.col("outside")
+    out_blocks, in_blocks = F.ceil(outside / LARGEST_BLOCK), F.ceil((n - outside) / LARGEST_BLOCK)
+    out, inside = rest.where("is_out").withColumn("own", dealt(outside, 3)), rest.where("not is_out").withColumn("own", dealt(n - outside, 4))
+    each_out, each_in = F.explode(F.sequence(F.lit(0), out_blocks - 1)), F.explode(F.sequence(F.lit(0), in_blocks - 1))
+    grouped = (
+        in_group(out.withColumn("other", each_out), F.col("part"), F.lit("out"), F.least("own", "other"), F.greatest("own", "other")),
+        in_group(out.withColumn("other", each_in), F.col("part"), F.lit("in"), F.col("own"), F.col("other")),
+        in_group(inside.withColumn("other", each_out), F.col("part"), F.lit("in"), F.col("other"), F.col("own")),
+    )
+    return links.union(compare_groups(grouped[0].union(grouped[1]).union(grouped[2]), percent))
+
+
+def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) confirmed on full sets, in every cluster (id, component) of class representatives.
+
+    A cluster too large for one task is cut into blocks, and every pair of blocks is a task of its own; one
+    too large for that goes through ``huge_links``.
+    """
+    sizes = cut_lineage(clusters.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"))
+    most = MOST_BLOCKS * LARGEST_BLOCK
+    members = cut_lineage(clusters.join(sizes, "component").select("component", F.col("id").alias("doc_id"), "n"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = batch["text"].tolist()
+            out = batch[["doc_id", "component", "n"]].copy()
+            out["shingles"] = [s.tobytes() for s in shingle_sets(values, width)]
+            yield out
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        texts = docs.select("doc_id", "text").where("doc_id is not null").join(some, "doc_id")
+        return texts.mapInPandas(read, "doc_id long, component long, n long, shingles binary")
+
+    blocks = F.least(F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)), F.lit(MOST_BLOCKS)).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    sets = sets_of(members.where(F.col("n") <= most)).withColumn("own", own).withColumn("other", other)
+    sets = sets.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "doc_id", F.col("doc_id").alias("known"), "shingles")
+    links = compare_groups(sets, percent)
+    if not sizes.where(F.col("n") > most).isEmpty():
+        links = links.union(huge_links(sets_of(members.where(F.col("n") > most)), percent))
+    return links.distinct()
 
 
 def near_duplicates(

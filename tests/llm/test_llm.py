@@ -200,6 +200,48 @@ def test_near_duplicates_equal_all_pairs(spark, docs, empty, width, percent, sma
     assert neardup.target_recall(percent, neardup.TREES, 1) > 0.9999
 
 
+def test_near_duplicates_of_a_cluster_beyond_all_blocks(spark, monkeypatch):
+    # The words of a cluster drift from copy to copy, so that its ends are linked by a chain alone; some texts stand apart.
+    r, words = random.Random(6), [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        rows.append((i, " ".join(words)))
+        words[r.randrange(120)] = f"v{i}"
+    for name, value in (("BLOCK", 3), ("LARGEST_BLOCK", 8), ("MOST_BLOCKS", 2), ("TILE", 4), ("MARGIN", 0.5)):
+        monkeypatch.setattr(neardup, name, value)
+    rows += [(500 + i, near_copy(near_copy(near_copy(BASE, 5 * i), 110 - 4 * i), 60)) for i in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 5, 80)
+    clusters = spark.createDataFrame([(i, 0) for i, _ in rows], "id long, component long")
+    links = neardup.confirmed_links(table, clusters, 5, 80)
+    got = {x["id"]: x["component"] for x in components.components(links).collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in want.items()}
+    assert len({c for _, c in want.values()}) > 1
+
+
+def test_group_links_stay_within_tiles(monkeypatch):
+    r = np.random.default_rng(6)
+    base = r.integers(1, 2**62, (3, 40)).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[i % 3][: 34 + i % 7], r.integers(1, 2**62, i % 5).astype(np.uint64)))) for i in range(90)]
+    ids = r.permutation(90) + 1000
+    x, y = neardup.stars(ids, neardup.linked_sets(sets, 80))
+    want, widest, plain = sorted(zip(x, y)), [], neardup.linked_sets
+
+    def watched(some, percent, split=None):
+        out = plain(some, percent, split)
+        widest.append(max(out.shape))
+        return out
+
+    monkeypatch.setattr(neardup, "TILE", 8)
+    monkeypatch.setattr(neardup, "linked_sets", watched)
+    x, y = neardup.group_links(ids, ids, sets, 80)
+    assert sorted(zip(x, y)) == want and 0 < max(widest) <= 8
+    parts = dict(zip([b for _, b in want], [a for a, _ in want]))
+    widest.clear()
+    x, y = neardup.group_links(ids, np.array([parts.get(i, i) for i in ids]), sets, 80)
+    assert sorted(zip(x, y)) == want
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(5, 5), (None, 3)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
