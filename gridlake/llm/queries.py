@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from gridlake.llm.alignment import op13_alignment
 from gridlake.llm.bpe import op3_bpe
+from gridlake.llm.divergence import SQL as DIVERGENCE_SQL
+from gridlake.llm.divergence import op12_divergence
 from gridlake.llm.language import op8_language
 from gridlake.llm.lm import op9_lm
 from gridlake.llm.mixing import op10_mixing
@@ -14,6 +17,7 @@ from gridlake.llm.sharding import op2_sharding
 from gridlake.llm.topk import SQL as TOPK_SQL
 from gridlake.llm.topk import op1_topk
 from gridlake.llm.toxicity import op5_toxicity
+from gridlake.llm.winnowing import op11_winnowing
 
 QUERIES = {
     "op1_topk": op1_topk,
@@ -26,9 +30,13 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
+    "op11_winnowing": op11_winnowing,
+    "op12_divergence": op12_divergence,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
     "op1_topk": TOPK_SQL,
     "op4_quality": QUALITY_SQL,
+    "op12_divergence": DIVERGENCE_SQL,
 }
