@@ -258,6 +258,8 @@ def identify(
             frame["kept"] = lettered & (frame["posterior"].to_numpy() >= least) & np.array([x in allowed for x in frame["language"]], bool)
             yield frame
 
+    # Marked so that a filter on the verdict doesn't evaluate it a second time.
+    fuse = fuse.asNondeterministic()
     keyed = docs.withColumn("__host", F.coalesce(host, F.lit(""))).withColumn("__suffix", F.coalesce(suffix, F.lit(""))).withColumn("__declared", language_tag(declared))
     # The limit is on rows of one block of languages.
     limit = max(1, small_limit(docs) * LANGUAGES // max(n, LANGUAGES))
