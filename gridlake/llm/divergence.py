@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from gridlake.plans.bounds import broadcast_if_small
 #: Documents of a language that a term must be in, shares of the whole, what is added to each count, ranks of terms.
 LEAST_DOCS, UNIT, ADDED, TOP = 10, 1_000_000_000, 2, 10
 #: Counts that a task holds before it hands them on.
-HELD = 200_000
+HELD = 500_000
 #: Sources of a block, and terms of a bucket: a task compares the sources of two blocks in one bucket.
 SOURCES, TERMS = 64, 2048
 
@@ -36,38 +37,57 @@ def terms(text: bytes) -> list[bytes]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents with the term; nulls count as ''."""
+    """Partial (lang, source, term, n, docs): occurrences, and documents with the term; nulls count as ''."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         occurrences, documents, held = defaultdict(Counter), defaultdict(Counter), 0
 
-        def flush() -> pd.DataFrame:
-            rows = [(lang, source, t, n, documents[lang, source][t]) for (lang, source), found in occurrences.items() for t, n in found.items()]
-            return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, source), found in occurrences.items():
+                of_group = documents[lang, source]
+                names = [pa.repeat(pa.scalar(x, pa.string()), len(found)) for x in (lang, source)]
+                numbers = [pa.array(x, pa.int64()) for x in (list(found.values()), [of_group[t] for t in found])]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(list(found), pa.binary()), *numbers], names=["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
-            for lang, source, text in zip(batch["lang"].tolist(), batch["source"].tolist(), batch["text"].tolist()):
+            for lang, source, text in zip(*[batch.column(c).to_pylist() for c in ("lang", "source", "text")]):
                 found = Counter(terms(text))
                 group = occurrences[lang, source]
                 held -= len(group)
-                group.update(found)
+                # Elements, not the mapping: these are counted without a Python loop.
+                group.update(found.elements())
                 documents[lang, source].update(found.keys())
                 held += len(group)
                 if held > HELD:
-                    yield flush()
+                    yield from flush()
                     occurrences, documents, held = defaultdict(Counter), defaultdict(Counter), 0
-        yield flush()
+        yield from flush()
 
     plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    partial = plain.mapInPandas(count, "lang string, source string, term binary, n long, docs long")
-    return partial.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return plain.mapInArrow(count, "lang string, source string, term binary, n long, docs long")
+
+
+def kept_counts(docs: DataFrame, least_docs: int) -> DataFrame:
+    """(lang, source, term, n, lang_n, first) of the terms in at least ``least_docs`` documents of their language.
+
+    Partial counts are dealt by language and term once; the sums per source and per language both follow
+    from that layout. ``first`` marks one source of each term. A term has one row for each source at most.
+    """
+    dealt = term_counts(docs).repartition("lang", "term")
+    counts = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")
+    sums = {"lang_n": F.sum("n").over(of_term), "lang_docs": F.sum("docs").over(of_term), "first": F.min("source").over(of_term) == F.col("source")}
+    kept = counts.withColumns(sums).where(F.col("lang_docs") >= least_docs)
+    return kept.select("lang", "source", F.col("term").cast("string").alias("term"), "n", "lang_n", "first")
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(UNIT * (n + ADDED) / (total + ADDED * kept)) in whole numbers; 1 for a language without terms."""
+    """1 + floor(UNIT * (n + ADDED) / (total + ADDED * kept)) in whole numbers; of no use where the language has no terms."""
+    below = F.greatest(total + ADDED * kept, F.lit(1))
     top = (n + ADDED).cast("decimal(27,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    below = F.greatest(total + ADDED * kept, F.lit(1)).cast("decimal(27,0)")
-    return F.call_function("div", top, below) + F.when(kept > 0, 1).otherwise(0)
+    # Most counts leave room for the product in a long.
+    small = F.call_function("div", (n + ADDED) * F.lit(UNIT), below)
+    return F.lit(1) + F.when(n < F.lit(9 * UNIT), small).otherwise(F.call_function("div", top, below.cast("decimal(27,0)")))
 
 
 def gap(p: Column, q: Column) -> Column:
@@ -141,25 +161,20 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, si
     where at least ``least_docs`` documents have it. Nulls count as ''; a group without terms has its pairs;
     a language without kept terms has pairs of value 0; ties go to the smaller item in UTF-8. Repeated rows
     count each; other columns of docs are not looked at; an empty table gives no rows. A long text is one
-    list of its terms in one task, about ten bytes a character while it is counted.
+    list of its terms while it is counted.
     """
     bounded_batches(docs.sparkSession)
-    counts = written(term_counts(docs))
-    kept = written(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs"))
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
-    found = counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
+    found = written(kept_counts(docs, least_docs))
+    langs = found.groupBy("lang").agg(F.count_if("first").alias("kept"), F.sum("n").alias("lang_total"))
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     named = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     of_lang = Window.partitionBy("lang")
     groups = named.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "kept", "lang_total"])
     groups = groups.withColumn("at", F.row_number().over(of_lang.orderBy("source")).cast("long") - 1).withColumn("sources", F.count(F.lit(1)).over(of_lang))
     groups = written(groups.withColumn("base", share(F.lit(0).cast("long"), F.col("total"), F.col("kept"))))
-    shared = found.join(broadcast_if_small(groups), ["lang", "source"])
-    shared = written(
-        shared.withColumn("p", share(F.col("n"), F.col("total"), F.col("kept"))).withColumn("q", share(F.col("lang_n"), F.col("lang_total"), F.col("kept")))
-    )
+    shared = found.join(broadcast_if_small(groups), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("kept")))
     pairs = all_pairs(groups, pair_gaps(shared, groups, size, width), size)
-    own = shared.where("n > 0 and p > q").select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
+    own = shared.withColumn("q", share(F.col("lang_n"), F.col("lang_total"), F.col("kept"))).where("n > 0 and p > q").select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).cast("int")
     parts = [(pairs, "pair", F.lit(True)), (own, "term", F.col("rank") <= top)]
     out = [df.withColumn("rank", rank).where(keep).select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank") for df, part, keep in parts]
