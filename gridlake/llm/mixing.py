@@ -3,13 +3,13 @@
 A linear classifier, fitted on a bounded sample of the labelled documents, gives every document a
 posterior over domains, so that a document adds its tokens to each domain in part. Nonnegative rates
 per document are fitted by projected gradient steps on the weighted squares of what the domains'
-expected totals lack; a step needs only one total per domain, so the documents stay where they are.
+expected totals lack; a step needs only totals over the domains, so the documents stay where they are.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,13 +17,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm.common import LONGEST, WORD, bounded_batches, labelled_sample, slices, table, written
+from gridlake.llm.common import LONGEST, WORD, bounded_batches, labelled_sample, scalars, slices, table, written
 
 BUCKETS = 1 << 18
 #: Labelled documents of one domain that the classifier is fitted on, at most.
 SAMPLE = 1500
-STEPS = 40
-TOLERANCE = 1e-4
+#: Passes over the table at most, what is left of the gradient at the end as a share of all tokens, and lengths tried for a step.
+STEPS, TOLERANCE, LENGTHS = 40, 1e-6, (1.0, 0.5, 0.25, 0.125)
+#: How much totals may give way for rates to stay near 1. A target of zero can't be reached while every posterior
+#: is above zero, so it gives way more: documents that hardly belong to such a domain keep their rates.
+GIVE, GIVE_ZERO = 1e-4, 0.05
+#: A total further from its target than this share of it makes a warning.
+OFF = 0.01
 #: What the anchor domain gets above its own size, so that its documents keep a rate of one or more.
 HEADROOM = 0.05
 EPOCHS = 8
@@ -40,13 +45,18 @@ def domain_of_labels() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low_quality").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
 
 
+def hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(BUCKETS)
+
+
 def word_features(words: list[str]) -> np.ndarray:
     """Two buckets per word: the lower-cased word without punctuation, and its raw last characters."""
-    whole = (xxhash.xxh3_64_intdigest(w.lower().strip(EDGES)) % BUCKETS for w in words)
-    tail = (xxhash.xxh3_64_intdigest("\x00" + w[-2:]) % BUCKETS for w in words)
     out = np.empty((len(words), 2), np.int64)
-    out[:, 0] = np.fromiter(whole, np.int64, len(words))
-    out[:, 1] = np.fromiter(tail, np.int64, len(words))
+    out[:, 0] = hashed([w.lower().strip(EDGES) for w in words])
+    # Few words end in characters of their own.
+    ends = [w[-2:] for w in words]
+    places = {x: i for i, x in enumerate(set(ends))}
+    out[:, 1] = hashed(["\x00" + x for x in places])[np.fromiter(map(places.__getitem__, ends), np.int64, len(ends))]
     return out
 
 
@@ -70,7 +80,7 @@ class Words:
         sets = [{*c, variety(len(c), len(d))} if (d := set(c)) else d for c in cut]
         if len(self.at) > self.MOST:
             self.__init__()
-        fresh = [w for w in set(chain.from_iterable(sets)) if w not in self.at]
+        fresh = list(set().union(*sets).difference(self.at))
         first = len(self.at)
         self.at.update(zip(fresh, range(first, first + len(fresh))))
         self.features = np.concatenate((self.features, word_features(fresh)))
@@ -171,40 +181,81 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text") -> DataF
     return docs.withColumn("__m", soft(text)).withColumn("__tokens", F.col("__m.tokens")).withColumn("__p", F.col("__m.p")).drop("__m")
 
 
-def rate_column(history: list[np.ndarray], n: int) -> Column:
-    """The rate of a row after the gradient steps taken so far; each step is projected to zero or more."""
-    rate = F.lit(1.0)
-    for step in history:
-        down = sum((F.col("__p")[k] * float(step[k]) for k in range(n)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - down)
-    return rate
+def rate_column(pull: np.ndarray) -> Column:
+    """The rate of a row: 1, moved along its posterior by all gradient steps so far, and projected to zero or more."""
+    return F.greatest(F.lit(0.0), sum((F.col("__p")[k] * float(x) for k, x in enumerate(pull)), F.lit(1.0)))
+
+
+class Fit:
+    """The pull of each domain on the rates, and how near the expected totals came to their goals."""
+
+    def __init__(self, domains: list[str], goal: np.ndarray, got: np.ndarray, pull: np.ndarray, passes: int, settled: bool):
+        self.domains, self.goal, self.got, self.pull, self.passes, self.settled = domains, goal, got, pull, passes, settled
+
+    def residual(self) -> dict[str, float]:
+        """What each domain has beyond its goal, as a share of all goals."""
+        return dict(zip(self.domains, ((self.got - self.goal) / max(self.goal.sum(), 1e-300)).tolist()))
+
+
+def measures(rows: DataFrame, pulls: list[np.ndarray], scale: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each pull, in one pass: half the weighted squares of the rates, the totals, and the Gram matrix of the rows above zero."""
+    n = len(pulls[0])
+    low = [(k, m) for k in range(n) for m in range(k, n)]
+    sums = []
+    for pull in pulls:
+        rate = rate_column(pull)
+        above = F.when(rate > 0, F.col("__tokens")).otherwise(0)
+        sums.append(F.sum(F.col("__tokens") * rate * rate))
+        sums += [F.sum(F.col("__tokens") * rate * F.col("__p")[k]) for k in range(n)]
+        sums += [F.sum(above * F.col("__p")[k] * F.col("__p")[m]) for k, m in low]
+    found = np.array([x or 0.0 for x in rows.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()]) / scale
+    out = []
+    for part in found.reshape(len(pulls), -1):
+        gram = np.zeros((n, n))
+        for (k, m), x in zip(low, part[1 + n :]):
+            gram[k, m] = gram[m, k] = x
+        out.append((part[0] / 2, part[1 : 1 + n], gram))
+    return out
+
 
+def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], anchor: str, headroom: float, steps: int) -> Fit:
+    """Rates of zero or more whose expected totals over rows(__tokens, __p) are at the targets.
 
-def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], anchor: str, headroom: float, steps: int) -> list[np.ndarray]:
-    """Gradient steps that bring the expected totals of rows(__tokens, __p) to the targets."""
+    The squares of what totals lack, each weighed against the squares of how far rates move, are brought
+    down by projected gradient steps. All rows move along the same n directions, so the state is one
+    number a domain, and the Gram matrix of the rows above zero turns a gradient into a step. Several
+    lengths of it are tried in the same pass over the table, the best one is taken, and the fit ends where
+    the gradient vanishes. Domains without documents are left out.
+    """
     n = len(domains)
-    sums = [F.sum(F.col("__tokens") * F.col("__p")[k]).alias(f"s{k}") for k in range(n)]
-    have = np.array([x or 0.0 for x in rows.agg(*sums).first()])
-    total = have.sum()
-    if total <= 0:
-        return []
+    total = scalars(rows.agg(F.sum("__tokens").alias("n")))["n"] or 0
     weights = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     weights = weights / weights.sum()
-    k = domains.index(anchor)
-    goal = weights * ((1 + headroom) * have[k] / weights[k] if have[k] > 0 and weights[k] > 0 else total)
-    share = np.maximum(have, 1e-9 * total)
-    history: list[np.ndarray] = []
-    got = have
-    for _ in range(steps):
-        lack = (got - goal) / share
-        # A domain without documents can't come nearer to its target.
-        lack[have <= 1e-9 * total] = 0.0
-        if np.abs(got - goal)[have > 1e-9 * total].max(initial=0) <= TOLERANCE * total:
+    pull = np.zeros(n)
+    if total <= 0:
+        return Fit(domains, np.zeros(n), np.zeros(n), pull, 0, True)
+    half, got, gram = measures(rows, [pull], total)[0]
+    have, k = got, domains.index(anchor)
+    goal = weights * ((1 + headroom) * have[k] / weights[k] if have[k] > 0 and weights[k] > 0 else 1.0)
+    there = have > 1e-9
+    give = np.where(weights > 0, GIVE, GIVE_ZERO) * np.maximum(have, 1e-9)
+
+    def value(half: float, pull: np.ndarray) -> float:
+        return half - goal @ pull + (give * pull * pull).sum() / 2
+
+    for passes in range(1, steps + 1):
+        slope = np.where(there, got + give * pull - goal, 0.0)
+        if np.abs(slope).max() <= TOLERANCE:
+            return Fit(domains, goal * total, got * total, pull, passes, True)
+        step = np.zeros(n)
+        step[there] = np.linalg.solve((gram + np.diag(give))[np.ix_(there, there)], slope[there])
+        tried = [pull - length * step for length in LENGTHS]
+        found = measures(rows, tried, total)
+        best = min(range(len(tried)), key=lambda i: value(found[i][0], tried[i]))
+        if value(found[best][0], tried[best]) >= value(half, pull):
             break
-        history.append(lack)
-        rate = rate_column(history, n)
-        got = np.array([x or 0.0 for x in rows.agg(*[F.sum(F.col("__tokens") * F.col("__p")[k] * rate) for k in range(n)]).first()])
-    return history
+        pull, (half, got, gram) = tried[best], found[best]
+    return Fit(domains, goal * total, got * total, pull, passes, bool(np.abs(np.where(there, got + give * pull - goal, 0.0)).max() <= 100 * TOLERANCE))
 
 
 def mix(
@@ -227,7 +278,8 @@ def mix(
     selected if its fixed uniform number is under its rate, so rates of one or more are always
     selected; copies is the rate rounded up or down by the same number. Null, empty and word-free
     texts have no tokens, weigh nothing and get the rate of their posterior. Ties between domains go to
-    the first one. Without usable labels all posteriors are equal. A null doc_id counts as one fixed
+    the first one. A warning tells if a total misses a target above zero by more than a hundredth of it; a
+    target of zero is only approached. Without usable labels all posteriors are equal. A null doc_id counts as one fixed
     id, repeated rows are treated alike, an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -242,9 +294,12 @@ def mix(
         sizes = {r["domain"]: r["count"] for r in labels.where(F.col("domain").isin(domains)).groupBy("domain").count().collect()}
         model.shift([r["label"] for r in rows], sizes)
     soft = written(memberships(docs, model).select("doc_id", "__tokens", "__p"))
-    history = fit_rates(soft, domains, targets, anchor, headroom, steps)
+    fit = fit_rates(soft, domains, targets, anchor, headroom, steps)
+    off = [d for d, goal, got in zip(domains, fit.goal, fit.got) if goal > 0 and abs(got - goal) > OFF * goal]
+    if off or not fit.settled:
+        warnings.warn(f"domain totals miss their targets after {fit.passes} passes: {fit.residual()}", stacklevel=2)
     uniform = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    rated = soft.withColumn("rate", rate_column(history, len(domains))).withColumn("__u", uniform)
+    rated = soft.withColumn("rate", rate_column(fit.pull)).withColumn("__u", uniform)
     best = F.array_position("__p", F.array_max("__p")).cast("int")
     return rated.select(
         "doc_id",
