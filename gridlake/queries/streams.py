@@ -8,14 +8,19 @@ from gridlake.plans.storage import work_dir
 from gridlake.queries.registry import query, table
 from gridlake.queries.storage import PROGRESS_SQL
 from gridlake.queries.transitions import NOVELTY_SQL
+from gridlake.streaming import keyed as K
 from gridlake.streaming import queries as Q
 from gridlake.streaming import state as S
 
 
+#: Input of one micro-batch, about: what a processor puts in order is one key's rows of one of them.
+MICRO_BATCH = 256 << 20
+
+
 def stream(spark, sf_dir, name):
     """The table as a stream over its files."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", MICRO_BATCH).parquet(f"{sf_dir}/{name}.parquet*")
 
 
 @query("""with k as (select sha256(text || '_224_224') as k from documents)
@@ -42,7 +47,7 @@ select event_id, user_id from n where rn >= 2""")
 def stream_task_state(spark, sf_dir):
     out = work_dir(spark, "stream-tasks")
     rows = stream(spark, sf_dir, "events").select("event_id", "user_id")
-    S.run_available(rows, S.repeated_tasks(out, "user_id", "event_id"), f"{out}/checkpoint")
+    K.run_available(K.repeated_tasks(rows, "user_id", "event_id"), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").select("event_id", "user_id")
 
 
@@ -52,7 +57,7 @@ def stream_novelty(spark, sf_dir):
     rows = stream(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.concat_ws(":", "event_type", F.hour("ts")).alias("state_hash")
     )
-    S.run_available(rows, S.novelty(out, "state_hash", "seq"), f"{out}/checkpoint")
+    K.run_available(K.novelty(rows, "state_hash", "seq"), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").select("seq", "n_before", F.round("bonus", 6).alias("bonus"))
 
 
@@ -61,13 +66,8 @@ select user_id, round(list_reduce(vs, lambda a, v: 0.9::double * a + 0.1::double
 def stream_ema(spark, sf_dir):
     out = work_dir(spark, "stream-ema")
     rows = stream(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    S.run_available(rows, S.running_ema(out, "user_id", ["ts", "event_id"], "value", 0.9), f"{out}/checkpoint")
-    final = spark.read.parquet(f"{out}/ema").where(F.col("epoch") == _last_epoch(spark, f"{out}/ema"))
-    return final.select("user_id", F.round("ema", 6).alias("ema"))
-
-
-def _last_epoch(spark, path):
-    return spark.read.parquet(path).agg(F.max("epoch")).first()[0]
+    K.run_available(K.running_ema(rows, "user_id", ["ts", "event_id"], "value", 0.9), f"{out}/rows", f"{out}/checkpoint")
+    return K.state_table(spark, f"{out}/checkpoint", "average").select("user_id", F.round("ema", 6).alias("ema"))
 
 
 @query("""with c as (select event_id as seq, value from events where event_id >= (select max(event_id) from events) - 5000)
@@ -75,9 +75,9 @@ select seq, value from c order by seq desc limit 3000""")
 def stream_buffer(spark, sf_dir):
     out = work_dir(spark, "stream-buffer")
     rows = stream(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "value")
-    S.run_available(rows, S.bounded_buffer(out, rows.schema, "seq", 3000, 5000), f"{out}/checkpoint")
-    found = spark.read.parquet(f"{out}/buffer")
-    return found.where(F.col("epoch") == _last_epoch(spark, f"{out}/buffer")).select("seq", "value")
+    K.run_available(K.bounded_buffer(rows, "seq", 3000, 5000), f"{out}/rows", f"{out}/checkpoint")
+    found = K.state_table(spark, f"{out}/checkpoint", "rows").select("seq", "value")
+    return K.newest(found, "seq", 3000, 5000)
 
 
 @query("""with d as (select doc_id, text, row_number() over (partition by text order by doc_id) as rn from documents),

@@ -1,7 +1,7 @@
-"""Streaming operators whose state is a small table per key, kept epoch by epoch.
+"""The continuous build: micro-batches against the tables of keys and batches that it writes.
 
-Each micro-batch is reduced with ordinary grouped aggregates before it meets the state, so a key with
-most of the rows is reduced in parallel, and a repeated micro-batch replaces what it wrote before.
+Its output is tables in any case, which other jobs read and compact; they have one partition per epoch,
+so a repeated micro-batch replaces what it wrote before. State per key lives in ``keyed``.
 """
 
 from __future__ import annotations
@@ -12,11 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions import text as X
-from gridlake.operators import transitions as R
-from gridlake.operators.metrics import ema as batch_ema
 from gridlake.operators.sampling import numbered_batches
-from gridlake.plans.bounds import broadcast_if_small
-from gridlake.plans.ordered import with_position
 from gridlake.plans.storage import EpochTable
 
 Step = Callable[[DataFrame, int], None]
@@ -64,70 +60,6 @@ def continuous_build(out: str, order: list[str], text: str = "text", batch_size:
     return step
 
 
-def repeated_tasks(out: str, task: str, seq: str) -> Step:
-    """Emit every row of a task but its very first, as ``rows`` under ``out``."""
-    rows, tasks = EpochTable(f"{out}/rows"), EpochTable(f"{out}/tasks")
-
-    def step(df: DataFrame, epoch: int) -> None:
-        schema = df.select(task).schema
-        known = tasks.before(df.sparkSession, epoch, schema)
-        firsts = df.groupBy(task).agg(F.min(seq).alias("_first")).join(known, task, "left_anti")
-        tasks.write(firsts.select(task), epoch)
-        joined = df.join(broadcast_if_small(firsts), task, "left")
-        rows.write(joined.where(F.col("_first").isNull() | (F.col(seq) > F.col("_first"))).drop("_first"), epoch)
-
-    return step
-
-
-def novelty(out: str, state_hash: str, seq: str, beta: float = 0.1) -> Step:
-    """Novelty bonus of every row, counting visits across micro-batches; rows go to ``rows``."""
-    rows, visits = EpochTable(f"{out}/rows"), EpochTable(f"{out}/visits")
-
-    def step(df: DataFrame, epoch: int) -> None:
-        schema = f"{state_hash} string, n bigint"
-        before = visits.before(df.sparkSession, epoch, schema).groupBy(state_hash).agg(F.sum("n").alias("_seen"))
-        visits.write(df.groupBy(state_hash).agg(F.count(F.lit(1)).alias("n")), epoch)
-        numbered = with_position(df, [state_hash], [seq], "_at").join(broadcast_if_small(before), state_hash, "left")
-        n_before = F.coalesce("_seen", F.lit(0)) + F.col("_at")
-        bonus = F.lit(beta) / (F.sqrt(n_before + 1) + F.lit(1e-8))
-        rows.write(numbered.withColumn("n_before", n_before).withColumn("bonus", bonus).drop("_seen", "_at"), epoch)
-
-    return step
-
-
-def running_ema(out: str, key: str, order: list[str], value: str, mu: float) -> Step:
-    """Moving average per key across micro-batches; the latest snapshot is the answer.
-
-    A micro-batch acts on the average as ``x -> mu**n x + b``, and ``b`` is a grouped aggregate.
-    """
-    table = EpochTable(f"{out}/ema")
-
-    def step(df: DataFrame, epoch: int) -> None:
-        schema = f"{key} {df.schema[key].dataType.simpleString()}, ema double"
-        old = table.last(df.sparkSession, epoch, schema).withColumnRenamed("ema", "_old")
-        sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        fresh = batch_ema(df, [key], order, value, mu).withColumnRenamed("ema", "_fresh")
-        shift = batch_ema(df, [key], order, value, mu, start=0.0).withColumnRenamed("ema", "_b")
-        new = fresh.join(shift, key).join(sizes, key)
-        moved = F.pow(F.lit(mu), F.col("_n")) * F.col("_old") + F.col("_b")
-        joined = old.join(new, key, "full_outer")
-        state = F.when(F.col("_n").isNull(), F.col("_old")).otherwise(F.coalesce(moved, F.col("_fresh")))
-        table.write(joined.select(key, state.alias("ema")), epoch)
-
-    return step
-
-
-def bounded_buffer(out: str, schema, seq: str, capacity: int, max_age: int) -> Step:
-    """Last ``capacity`` rows no more than ``max_age`` arrivals old, as a snapshot per micro-batch."""
-    table = EpochTable(f"{out}/buffer")
-
-    def step(df: DataFrame, epoch: int) -> None:
-        held = table.last(df.sparkSession, epoch, schema).unionByName(df.select(*[f.name for f in schema]))
-        table.write(R.retain(R.drop_old(held, seq, max_age), capacity, seq), epoch)
-
-    return step
-
-
 def with_consolidation(build: Step, compact: Callable[[], None], every: int, pending: Callable[[], int]) -> Step:
     """Run ``build`` on each micro-batch, then ``compact`` whenever ``every`` batches are waiting."""
     def step(df: DataFrame, epoch: int) -> None:

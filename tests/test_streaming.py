@@ -1,3 +1,4 @@
+import datetime
 import time
 
 import pytest
@@ -8,6 +9,7 @@ from gridlake.operators import metrics as M
 from gridlake.operators import transitions as R
 from gridlake.plans.storage import EpochTable
 from gridlake.sources import sinks
+from gridlake.streaming import keyed as K
 from gridlake.streaming import queries as Q
 from gridlake.streaming import state as S
 
@@ -33,11 +35,6 @@ def stream(spark, path):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def last_epoch(spark, path):
-    found = spark.read.parquet(path)
-    return found.where(F.col("epoch") == found.agg(F.max("epoch")).first()[0])
-
-
 def rows(df, *cols):
     return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*cols).collect())
 
@@ -45,19 +42,20 @@ def rows(df, *cols):
 def test_novelty_equals_batch(spark, staged, tmp_path):
     events = stream(spark, str(staged / "events")).select(F.col("event_id").alias("seq"), F.col("event_type").alias("h"))
     out = str(tmp_path)
-    S.run_available(events, S.novelty(out, "h", "seq"), f"{out}/ckpt")
+    K.run_available(K.novelty(events, "h", "seq"), f"{out}/rows", f"{out}/ckpt")
     batch = R.novelty_bonus(
         spark.read.parquet(str(staged / "events")).select(F.col("event_id").alias("seq"), F.col("event_type").alias("h")), "h", "seq"
     )
     found = spark.read.parquet(f"{out}/rows")
     assert found.select("epoch").distinct().count() == 4
+    assert K.state_table(spark, f"{out}/ckpt", "visits").agg(F.sum("n")).first()[0] == 1000
     assert rows(found, "seq", "n_before", "bonus") == rows(batch, "seq", "n_before", "bonus")
 
 
 def test_tasks_equal_batch(spark, staged, tmp_path):
     events = stream(spark, str(staged / "events")).select("event_id", "user_id")
     out = str(tmp_path)
-    S.run_available(events, S.repeated_tasks(out, "user_id", "event_id"), f"{out}/ckpt")
+    K.run_available(K.repeated_tasks(events, "user_id", "event_id"), f"{out}/rows", f"{out}/ckpt")
     everything = spark.read.parquet(str(staged / "events"))
     firsts = everything.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
     want = everything.join(firsts, ["user_id", "event_id"], "left_anti")
@@ -67,16 +65,61 @@ def test_tasks_equal_batch(spark, staged, tmp_path):
 def test_ema_equals_batch(spark, staged, tmp_path):
     events = stream(spark, str(staged / "events")).select("user_id", "event_id", "value")
     out = str(tmp_path)
-    S.run_available(events, S.running_ema(out, "user_id", ["event_id"], "value", 0.9), f"{out}/ckpt")
+    K.run_available(K.running_ema(events, "user_id", ["event_id"], "value", 0.9), f"{out}/rows", f"{out}/ckpt")
     want = M.ema(spark.read.parquet(str(staged / "events")), ["user_id"], ["event_id"], "value", 0.9)
-    assert rows(last_epoch(spark, f"{out}/ema"), "user_id", "ema") == rows(want, "user_id", "ema")
+    assert rows(K.state_table(spark, f"{out}/ckpt", "average"), "user_id", "ema") == rows(want, "user_id", "ema")
 
 
 def test_buffer_equals_batch(spark, staged, tmp_path):
     events = stream(spark, str(staged / "events")).select(F.col("event_id").alias("seq"), "value")
     out = str(tmp_path)
-    S.run_available(events, S.bounded_buffer(out, events.schema, "seq", 80, 300), f"{out}/ckpt")
-    assert rows(last_epoch(spark, f"{out}/buffer"), "seq") == [(i,) for i in range(920, 1000)]
+    K.run_available(K.bounded_buffer(events, "seq", 80, 300, shards=3), f"{out}/rows", f"{out}/ckpt")
+    held = K.state_table(spark, f"{out}/ckpt", "rows")
+    assert held.count() <= 3 * 80
+    assert rows(K.newest(held, "seq", 80, 300), "seq") == [(i,) for i in range(920, 1000)]
+    assert rows(K.newest(held, "seq", 80, 9), "seq") == [(i,) for i in range(990, 1000)]
+
+
+def test_keyed_state_goes_on_after_a_restart(spark, tmp_path):
+    made = [[(1, "a", 1.0), (2, "a", 2.0), (3, "b", 5.0)], [(4, "a", 4.0), (5, "c", 7.0)], [(6, "b", 1.0), (7, "c", 3.0), (8, "a", 0.0)]]
+    path, out, schema = str(tmp_path / "in"), str(tmp_path), "seq long, k string, v double"
+    for part in made:
+        # A new query each time: what it knows of earlier rows comes from the checkpoint alone.
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        source = spark.readStream.schema(schema).parquet(path)
+        K.run_available(K.repeated_tasks(source, "k", "seq"), f"{out}/tasks", f"{out}/c1")
+        K.run_available(K.novelty(source, "k", "seq"), f"{out}/novel", f"{out}/c2")
+        K.run_available(K.running_ema(source, "k", ["seq"], "v", 0.5), f"{out}/ema", f"{out}/c3")
+    assert rows(spark.read.parquet(f"{out}/tasks"), "seq") == [(2,), (4,), (6,), (7,), (8,)]
+    assert rows(spark.read.parquet(f"{out}/novel"), "seq", "n_before") == [(1, 0), (2, 1), (3, 0), (4, 2), (5, 0), (6, 1), (7, 1), (8, 3)]
+    assert rows(K.state_table(spark, f"{out}/c3", "average"), "k", "n", "ema") == [("a", 4, 1.375), ("b", 2, 3.0), ("c", 2, 5.0)]
+
+
+def test_idle_buffers_are_emptied_and_late_rows_dropped(spark, tmp_path):
+    path, out, schema = str(tmp_path / "in"), str(tmp_path), "seq long, ts timestamp"
+    day = datetime.datetime(2024, 1, 1)
+    dealt = spark.range(100).select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("shard")).collect()
+    one, other = ([r["id"] for r in dealt if r["shard"] == x][:12] for x in (0, 1))
+    # One shard has rows on the first day only; the other goes on, at last with a row of the first day.
+    parts = [[(i, day) for i in one], [(i, day + datetime.timedelta(days=5)) for i in other[:3]], [(other[3], day + datetime.timedelta(days=5)), (other[4], day)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        source = spark.readStream.schema(schema).parquet(path).withWatermark("ts", "1 hour")
+        K.run_available(K.bounded_buffer(source, "seq", 10, 1000, shards=2, idle_ms=86_400_000, ts="ts"), f"{out}/rows", f"{out}/ckpt")
+    held = K.state_table(spark, f"{out}/ckpt", "rows")
+    assert rows(held, "seq") == [(i,) for i in other[:4]]
+    assert rows(spark.read.parquet(f"{out}/rows"), "shard", "n")[:2] == [(0, 0), (0, 10)]
+
+
+def test_time_to_live_forgets_tasks(spark, tmp_path):
+    path, out, schema = str(tmp_path / "in"), str(tmp_path), "seq long, k string"
+    for seq in (1, 2):
+        spark.createDataFrame([(seq, "a")], schema).coalesce(1).write.mode("append").parquet(path)
+        source = spark.readStream.schema(schema).parquet(path)
+        K.run_available(K.repeated_tasks(source, "k", "seq", ttl_ms=1000), f"{out}/rows", f"{out}/ckpt")
+        time.sleep(1.5)
+    # The second row is a first one again: the first was forgotten.
+    assert spark.read.parquet(f"{out}/rows").count() == 0
 
 
 def test_build_skips_known_and_compacts(spark, staged, tmp_path):
