@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridlake.functions import numeric as N
+from gridlake.operators import hamming as H
 from gridlake.operators import vectors as V
-from gridlake.plans.bounds import spread
+from gridlake.plans.bounds import cut_lineage, spread
 from gridlake.queries.registry import query, table
 
 DIM = 64
@@ -230,6 +231,30 @@ def lsh_topk(spark, sf_dir):
     return V.lsh_topk(queries, bank, HASHES, 32)
 
 
+LONG_SIZE = 16
+
+
+def long_projection():
+    """128 signs from a fixed rule: eight sub-codes of sixteen bits."""
+    d, h = np.meshgrid(np.arange(DIM), np.arange(HASHES * LONG_SIZE), indexing="ij")
+    return np.where(((d + 1) * (h + 3) * 7919 + (d + 1) ** 2 * 104729 + h * h * 31) % 211 < 105, 1.0, -1.0)
+
+
+@query(f"""with proj as (select d, h, case when ((d + 1) * (h + 3) * 7919 + (d + 1) * (d + 1) * 104729 + h * h * 31) % 211 < 105 then 1.0::double else -1.0 end as p
+  from range({DIM}) a(d), range({HASHES * LONG_SIZE}) b(h)),
+flat as (select vec_id, i, embedding[i + 1]::double as x from embeddings, range({DIM}) t(i)),
+b as (select vec_id, h, sum(x * p) > 1e-12::double as bit from flat join proj on d = i group by all),
+codes as (select vec_id, string_agg(bit::int::varchar, '' order by h)::bit as code from b group by vec_id)
+select q.vec_id as query_id, k.vec_id as key_id, bit_count(xor(q.code, k.code))::int as distance,
+  row_number() over (partition by q.vec_id order by bit_count(xor(q.code, k.code)), k.vec_id)::int as rank
+from codes q, codes k qualify rank <= 32""")
+def hamming_topk(spark, sf_dir):
+    """Eight hashes of sixteen bits each, all of them kept: the 32 nearest of every vector."""
+    coded = embeddings(spark, sf_dir).select("vec_id", H.sign_code(F.col("embedding"), long_projection(), LONG_SIZE).alias("code"))
+    coded = cut_lineage(coded)
+    return H.nearest_codes(coded.withColumnRenamed("vec_id", "query_id"), coded.withColumnRenamed("vec_id", "key_id"), LONG_SIZE, 32)
+
+
 @query(f"""with {LSH_SQL},
 s as (select t.query_id, t.key_id, sum(a.x * b.x) / 8.0::double as s from top t join flat a on a.vec_id = t.query_id
       join flat b on b.vec_id = t.key_id and b.i = a.i group by all),
