@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions import text as X
-from gridlake.plans.bounds import broadcast_if_small
+from gridlake.plans.bounds import broadcast_if_small, cut_lineage
 from gridlake.plans.ordered import prefix_sums, with_position
 
 # File extensions of each modality.
@@ -77,8 +81,8 @@ def image_samples(files: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their place: ``file, start, row, line``; any line end will do."""
-    raw = spark.read.text(path)
+    """Lines of text files with their place: ``file, start, row, line``; carriage returns are left in them."""
+    raw = spark.read.option("lineSep", "\n").text(path)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -88,40 +92,157 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def chunk_lines(lines: DataFrame, size: int = 1000) -> DataFrame:
-    """Fixed-size character chunks of whole files: ``file, idx, chunk``.
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """(file, _at, _t): the text of each line with its line end, and its offset in the file in characters.
 
-    A file need not fit a task: running sums of the line lengths give each line its offset, lines are
-    cut at the chunk borders, and a chunk is put together from at most ``size`` pieces.  Blank chunks
-    are dropped before numbering.
+    Any line end becomes a line feed.
     """
-    measured = lines.withColumn("_n", F.length("line").cast("long") + 1)
-    placed = prefix_sums(measured, ["file"], ["start", "row"], {"_at": F.col("_n")}, inclusive=False)
     bytes_ = lines.groupBy("file").agg(
         (F.max("file_size") >= F.sum(F.octet_length("line") + 1)).alias("_ends"),
         F.max(F.struct("start", "row")).alias("_last"),
     )
-    joined = placed.join(broadcast_if_small(bytes_), "file")
+    joined = lines.join(broadcast_if_small(bytes_), "file")
     # The last line keeps its line end only if the file has one.
     final = F.struct("start", "row") == F.col("_last")
     full = F.when(final & ~F.col("_ends"), F.col("line")).otherwise(F.concat("line", F.lit("\n")))
-    pieces = joined.withColumn("_t", full).where(F.length("_t") > 0)
-    first = F.floor(F.col("_at") / size)
+    texts = joined.select("file", "start", "row", F.regexp_replace(full, "\r\n?", "\n").alias("_t"))
+    measured = texts.withColumn("_n", F.length("_t").cast("long"))
+    placed = prefix_sums(measured, ["file"], ["start", "row"], {"_at": F.col("_n")}, inclusive=False)
+    return placed.where("_n > 0").select("file", "_at", "_t")
+
+
+def glued_ranges(pieces: DataFrame, size: int, ahead: int = 0) -> DataFrame:
+    """(file, _c, chunk): the characters from ``_c * size`` on, ``size + ahead`` of them, of each file that reaches so far."""
+    first = F.floor(F.greatest(F.col("_at") - ahead, F.lit(0)) / size)
     last = F.floor((F.col("_at") + F.length("_t") - 1) / size)
     spread = pieces.select("file", "_at", "_t", F.explode(F.sequence(first, last)).alias("_c"))
     begin = F.greatest(F.col("_c") * size - F.col("_at"), F.lit(0))
-    end = F.least((F.col("_c") + 1) * size - F.col("_at"), F.length("_t").cast("long"))
+    end = F.least((F.col("_c") + 1) * size + ahead - F.col("_at"), F.length("_t").cast("long"))
     part = F.substr("_t", (begin + 1).cast("int"), (end - begin).cast("int"))
-    glued = (
+    return (
         spread.select("file", "_c", F.struct("_at", part.alias("p")).alias("s"))
         .groupBy("file", "_c")
         .agg(F.array_sort(F.collect_list("s")).alias("_s"))
         .select("file", "_c", F.array_join(F.transform("_s", lambda s: s["p"]), "").alias("chunk"))
     )
-    kept = glued.where(F.regexp_replace("chunk", X.SPACE, "") != "")
+
+
+def chunk_lines(lines: DataFrame, size: int = 1000) -> DataFrame:
+    """Fixed-size character chunks of whole files: ``file, idx, chunk``.
+
+    A file need not fit a task: running sums of the line lengths give each line its offset, lines are
+    cut at the chunk borders, and a chunk is put together from at most ``size`` pieces.  Blank chunks
+    are dropped before numbering.
+    """
+    kept = glued_ranges(placed_lines(lines), size).where(F.regexp_replace("chunk", X.SPACE, "") != "")
     return with_position(kept, ["file"], ["_c"], "idx").drop("_c")
 
 
+#: Characters of a block of a file that is cut at spaces, and blocks whose maps are put together at once.
+WORD_BLOCK, FAN = 1_000_000, 64
+
+
+def _following(text: str, size: int, total: int):
+    """The cut after each of an array of cuts, by the last space of every stretch; positions are the block's own."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    at = np.arange(len(codes))
+    last = np.maximum.accumulate(np.where(codes == 32, at, -1)) if len(codes) else at
+
+    def step(p: np.ndarray) -> np.ndarray:
+        space = last[np.minimum(p + size - 1, len(codes) - 1)]
+        inside = np.where(space > p, space, np.minimum(p + size, total))
+        return np.where(total - p < size, total, inside)
+
+    return step
+
+
+def _exits(text: str, size: int, block: int, total: int) -> np.ndarray:
+    """Where in the next block the first cut lies, for every place of the first cut in this one."""
+    step, p = _following(text, size, total), np.arange(size)
+    while True:
+        inside = np.flatnonzero(p < min(block, total))
+        if not len(inside):
+            return np.maximum(p - block, 0)
+        p[inside] = step(p[inside])
+
+
+def _pieces(text: str, size: int, block: int, total: int, entry: int) -> list[tuple[int, str]]:
+    """The pieces that begin in a block, given the first cut in it."""
+    step, p, out = _following(text, size, total), np.array([entry]), []
+    while p[0] < min(block, total):
+        after = step(p)
+        out.append((int(p[0]), text[p[0] : after[0]]))
+        p = after
+    return out
+
+
+def block_entries(maps: DataFrame, fan: int = FAN) -> DataFrame:
+    """(file, _c, entry): the first cut of each block, from maps(file, _c, exits) of every block.
+
+    The maps of neighbouring blocks are put together to the map of a larger block, level by level, until
+    a file has few; from there the entries are handed down again.
+    """
+    schema = "file string, _c long, exits array<int>"
+    levels = [cut_lineage(maps)]
+    while (levels[-1].agg(F.max("_c")).first()[0] or 0) >= fan:
+
+        def compose(batch: pd.DataFrame) -> pd.DataFrame:
+            batch = batch.sort_values("_c")
+            whole = None
+            for exits in batch["exits"]:
+                whole = np.asarray(exits) if whole is None else np.asarray(exits)[whole]
+            return pd.DataFrame({"file": batch["file"].iloc[:1], "_c": [batch["_c"].iloc[0] // fan], "exits": [whole]})
+
+        levels.append(cut_lineage(levels[-1].groupBy("file", F.expr(f"_c div {fan}")).applyInPandas(compose, schema)))
+
+    def hand_down(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("_c")
+        at, out = int(batch["entry"].iloc[0]), []
+        for exits in batch["exits"]:
+            out.append(at)
+            at = int(exits[at])
+        return batch[["file", "_c"]].assign(entry=out)
+
+    entries = levels[-1].select("file", F.lit(0).cast("long").alias("_g"), F.lit(0).alias("entry")).distinct()
+    for level in reversed(levels):
+        below = level.withColumn("_g", F.expr(f"_c div {fan}")).join(entries, ["file", "_g"])
+        found = below.groupBy("file", "_g").applyInPandas(hand_down, "file string, _c long, entry int")
+        entries = cut_lineage(found.withColumnRenamed("_c", "_g"))
+    return entries.withColumnRenamed("_g", "_c")
+
+
+def chunk_words(lines: DataFrame, size: int = 1000, block: int = WORD_BLOCK, fan: int = FAN) -> DataFrame:
+    """Pieces of whole files that end before a space, each stripped: ``file, idx, chunk``.
+
+    The pieces are those of ``word_chunks`` over the whole text, of which each cut depends on the one
+    before. A file need not fit a task: for each block of it, the first cut of the next block is worked
+    out for all ``size`` places that its own first cut may have; these maps are put together, and every
+    block is then cut from its true first place on.
+    """
+    if not 1 < size <= block:
+        raise ValueError("pieces have two characters or more and are no longer than a block")
+    placed = cut_lineage(placed_lines(lines))
+    totals = placed.groupBy("file").agg(F.max(F.col("_at") + F.length("_t")).alias("_total"))
+    blocks = glued_ranges(placed, block, size).join(broadcast_if_small(totals), "file")
+    blocks = cut_lineage(blocks.select("file", "_c", F.col("chunk").alias("text"), (F.col("_total") - F.col("_c") * block).alias("total")).where("total > 0"))
+
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_exits(t, size, block, n).astype(np.int32) for t, n in zip(batch["text"], batch["total"].tolist())]
+            yield pd.DataFrame({"file": batch["file"].tolist(), "_c": batch["_c"].to_numpy(), "exits": pd.Series(found, dtype=object)})
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, c, text, total, entry in batch[["file", "_c", "text", "total", "entry"]].itertuples(index=False, name=None):
+                found = _pieces(text, size, block, total, entry)
+                if found:
+                    yield pd.DataFrame({"file": [file] * len(found), "at": [c * block + p for p, _ in found], "chunk": [x for _, x in found]})
+
+    maps = blocks.mapInPandas(exits, "file string, _c long, exits array<int>")
+    pieces = blocks.join(block_entries(maps, fan), ["file", "_c"]).mapInPandas(cut, "file string, at long, chunk string")
+    return with_position(pieces, ["file"], ["at"], "idx").select("file", "idx", X.strip(F.col("chunk")).alias("chunk"))
+
+
 def _text_samples(chunks: DataFrame, name: Column) -> DataFrame:
     return chunks.select(
         name.alias("sample_id"),
@@ -138,14 +259,8 @@ def read_text_chunks(spark: SparkSession, path: str, size: int = 1000) -> DataFr
 
 
 def read_word_chunks(spark: SparkSession, path: str, size: int = 1000) -> DataFrame:
-    """Samples cut at spaces, ids ``text_{stem}_{idx}``.
-
-    Each cut depends on the one before it, so a file is one row here; many files run in parallel.
-    """
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text")
-    )
-    chunks = raw.select("file", F.posexplode(X.word_chunks(F.col("text"), size)).alias("idx", "chunk"))
+    """Samples cut at spaces, ids ``text_{stem}_{idx}``; a file may be larger than a task."""
+    chunks = chunk_words(read_lines(spark, path), size)
     return _text_samples(chunks, F.concat_ws("_", F.lit("text"), stem(F.col("file")), "idx"))
 
 

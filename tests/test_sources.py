@@ -2,11 +2,13 @@ import base64
 import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridlake.functions import grid as G
+from gridlake.functions import text as X
 from gridlake.operators import manifest as M
 from gridlake.plans import build as B
 from gridlake.plans import registry as P
@@ -81,6 +83,27 @@ def test_word_chunks_file(spark, tmp_path):
     assert got == [("text_book_0", "This is a test sample.\nAnother line.")]
 
 
+WORDY = ["", "x", " ", "no_space_at_all" * 40, " " * 90, "a b " * 120, "ab\r\ncd\ref  " * 30, "end \n"]
+
+
+@pytest.mark.parametrize("end", ["", "\n", "\r", "\r\n"])
+@pytest.mark.parametrize("block, fan, split", [(64, 3, "64"), (20, 2, "50"), (1000, 64, None)])
+def test_word_chunks_of_a_file_in_blocks(spark, tmp_path, end, block, fan, split):
+    rng = random.Random(block)
+    texts = WORDY + ["".join(rng.choice("abé🙂   \n\r") * rng.randrange(1, 12) for _ in range(160))]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_bytes((text + end).encode())
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = {(r.file.rsplit("/", 1)[1], r.idx): r.chunk for r in L.chunk_words(L.read_lines(spark, str(tmp_path)), 20, block, fan).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = spark.createDataFrame([(f"{i}.txt", re.sub("\r\n?", "\n", t + end)) for i, t in enumerate(texts)], "file string, text string")
+    want = whole.select("file", F.posexplode(X.word_chunks(F.col("text"), 20)).alias("idx", "chunk")).collect()
+    assert got == {(r.file, r.idx): r.chunk for r in want}
+
+
 def test_folder_catalogue(spark, tmp_path):
     for name in ("a.PNG", "b.txt", "sub/c.md", "d.npy", "e.webp", "f.pdf", "g.zip"):
         p = tmp_path / name
