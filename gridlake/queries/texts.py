@@ -9,6 +9,7 @@ from gridlake.operators import evaluation as E
 from gridlake.plans.bounds import spread
 from gridlake.queries.fixtures import RAGGED, ragged, text_sql
 from gridlake.queries.registry import query, table
+from gridlake.sources import files as L
 
 SPACE_RE = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 FLAT = f"trim(regexp_replace(text, '{SPACE_RE}+', ' ', 'g'), ' ')"
@@ -83,6 +84,23 @@ def text_word_chunks(spark, sf_dir):
     return rows.select("doc_id", "idx", F.md5("chunk").alias("chunk_md5"))
 
 
+@query(f"""with recursive files as (select lang as file, string_agg(text || chr(10), '' order by doc_id) as t from documents group by lang),
+walk(file, idx, pos, n, total) as (
+  select file, -1::bigint, 1::bigint, 0::bigint, length(t)::bigint from files
+  union all
+  select w.file, w.idx + 1, w.pos + w.n, case
+      when w.total - (w.pos + w.n) + 1 < 1000 then w.total - (w.pos + w.n) + 1
+      when contains(substr(f.t, w.pos + w.n + 1, 999), ' ') then 1000 - position(' ' in reverse(substr(f.t, w.pos + w.n + 1, 999)))
+      else 1000 end, w.total
+  from walk w join files f using (file) where w.pos + w.n <= w.total)
+select file, idx, md5({strip_sql('substr(t, pos, n)')}) as chunk_md5 from walk join files using (file) where idx >= 0""")
+def file_word_chunks(spark, sf_dir):
+    """The documents of each language as the lines of one file, which is cut block by block."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select(F.col("lang").alias("file"), F.lit(0).cast("long").alias("start"), F.col("doc_id").alias("row"), F.col("text").alias("line"), F.lit(1 << 62).alias("file_size"))
+    return L.chunk_words(lines).select("file", "idx", F.md5("chunk").alias("chunk_md5"))
+
+
 @query(f"""with {WORDS_SQL}
 select doc_id, k::int as k, array_to_string(ws[(k * len(ws)) // 4 + 1:((k + 1) * len(ws)) // 4], ' ') as part
 from word_lists, range(4) t(k)""")
