@@ -1,9 +1,9 @@
 """Quality rules of documents and of their hosts.
 
 Every document is measured and fails or passes each rule. The failures are summed by host, and a
-host's failure rate is shrunk toward the rate of all hosts by a beta prior whose strength the spread of
-the hosts' rates gives. A host whose shrunken rate passes the limit for some rule is rejected with all
-its documents.
+host's failure rate is shrunk toward the rate of all hosts by a beta prior whose strength is what the
+spread of the hosts' rates shows beyond the chance in small hosts. A host whose shrunken rate passes
+the limit for some rule is rejected with all its documents.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from gridlake.plans.bounds import broadcast_if_small
 SYMBOLS = "#*$%&|<>"
 
 HOST_LIMIT = 0.5
+#: Bounds of the prior's strength, in documents.
+WEAKEST, STRONGEST = 1.0, 1e6
 RULES = {
     "few_words": "n_words < 10",
     "repeats": "100 * n_repeat_words > 20 * n_words",
@@ -72,6 +74,22 @@ def measure(text):
     return counts(text)
 
 
+def prior_strength(mean: float, spread: float, n: int, hosts: int, squares: float) -> float:
+    """Documents that the beta prior counts for, from the spread of the hosts' rates by moments.
+
+    A host of n documents has a rate of variance m (1 - m) (rho + (1 - rho) / n), where rho is
+    1 / (strength + 1). So of the spread, the sum of n (rate - m)^2, chance alone brings hosts - 1 times
+    m (1 - m), and only what goes beyond it speaks of hosts that differ. ``squares`` is the sum of n^2. Where
+    nothing goes beyond it, or every host has one document, the prior is as strong as it gets.
+    """
+    chance = mean * (1 - mean)
+    freedom = n - squares / n - (hosts - 1) if n else 0.0
+    if chance <= 0 or freedom <= 0 or spread / chance <= hosts - 1:
+        return STRONGEST
+    rho = (spread / chance - (hosts - 1)) / freedom
+    return min(STRONGEST, max(WEAKEST, 1 / rho - 1))
+
+
 def host_verdicts(rows: DataFrame, limit: float) -> DataFrame:
     """(host, n, rate_<rule>, rejected) from rows(host, fail_<rule>); the rates are shrunk."""
     fails = [F.sum(F.col(f"fail_{r}").cast("long")).alias(f"f_{r}") for r in RULES]
@@ -79,10 +97,9 @@ def host_verdicts(rows: DataFrame, limit: float) -> DataFrame:
     total = hosts.agg(F.sum("n").alias("n"), *[F.sum(f"f_{r}").alias(r) for r in RULES]).first()
     mean = {r: (total[r] or 0) / max(1, total["n"] or 0) for r in RULES}
     spread = [F.sum(F.col("n") * (F.col(f"f_{r}") / F.col("n") - mean[r]) ** 2).alias(r) for r in RULES]
-    spreads = hosts.agg(*spread).first()
+    spreads = hosts.agg(F.count("*").alias("hosts"), F.sum(F.col("n").cast("double") ** 2).alias("squares"), *spread).first()
     for r in RULES:
-        variance = (spreads[r] or 0.0) / max(1, total["n"] or 0)
-        strength = min(1e6, max(1.0, mean[r] * (1 - mean[r]) / variance - 1)) if variance > 0 else 1e6
+        strength = prior_strength(mean[r], spreads[r] or 0.0, total["n"] or 0, spreads["hosts"], spreads["squares"] or 0.0)
         hosts = hosts.withColumn(f"rate_{r}", (F.col(f"f_{r}") + mean[r] * strength) / (F.col("n") + strength))
     rejected = F.lit(False)
     for r in RULES:
@@ -153,10 +170,11 @@ with d as (
         on few_words, repeated, symbols, dup_lines into name rule value fail)
   group by host, rule
 ), prior as (
-  select rule, mean, case when variance > 0
-    then least(1e6, greatest(1.0, mean * (1 - mean) / variance - 1)) else 1e6 end as strength
+  select rule, mean, case when mean * (1 - mean) > 0 and freedom > 0 and spread / (mean * (1 - mean)) > hosts - 1
+    then least(1e6, greatest(1.0, freedom / (spread / (mean * (1 - mean)) - (hosts - 1)) - 1)) else 1e6 end as strength
   from (
-    select rule, any_value(mean) as mean, sum(n * (f / n - mean) ** 2) / sum(n) as variance
+    select rule, any_value(mean) as mean, sum(n * (f / n - mean) ** 2) as spread, count(*) as hosts,
+      sum(n) - sum(n * n) / sum(n) - (count(*) - 1) as freedom
     from (select *, sum(f) over (partition by rule) / sum(n) over (partition by rule) as mean from rates)
     group by rule
   )

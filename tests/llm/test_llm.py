@@ -140,6 +140,49 @@ def test_quality_measures_and_host_verdicts(spark, docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def plain_strength(hosts):
+    """The prior's strength from every host's (documents, failures), pair by pair of documents.
+
+    Two documents of one host both fail more often than two of all documents: that excess, as a share of
+    m (1 - m), is rho up to the finite number of hosts.
+    """
+    n = sum(a for a, _ in hosts)
+    m = sum(f for _, f in hosts) / n
+    spread = sum(a * (f / a - m) ** 2 for a, f in hosts)
+    chance, freedom = m * (1 - m) * (len(hosts) - 1), n - sum(a * a for a, _ in hosts) / n - (len(hosts) - 1)
+    rho = (spread - chance) / (m * (1 - m) * freedom) if 0 < m < 1 and freedom > 0 else 0
+    return 1e6 if rho <= 0 else min(1e6, max(1.0, 1 / rho - 1))
+
+
+def test_quality_prior_leaves_out_chance(spark):
+    """Hosts of one document say nothing on how hosts differ, so none is judged by its one failure."""
+    good, marked = prose(9, 50), prose(9, 50).replace(" ", "## ")
+    one_each = [(i, marked if i % 20 == 0 else good, f"h{i}") for i in range(1000)]
+    schema = "doc_id long, text string, source string"
+    assert all(x["kept"] for x in collected(quality.judge(spark.createDataFrame(one_each, schema))))
+    # Large hosts that differ are seen as such, and the small ones are still shrunk.
+    one_each = [(i, marked if i % 5 == 0 else good, f"h{i}") for i in range(1000)]
+    large = [(2000 + 50 * h + i, marked if i < (45 if h < 3 else 10) else good, f"L{h}") for h in range(40) for i in range(50)]
+    got = collected(quality.judge(spark.createDataFrame(one_each + large, schema)))
+    assert {x["host"] for x in got if x["host_rejected"]} == {f"=L{h}" for h in range(3)}
+
+
+def test_quality_prior_strength_against_a_plain_version():
+    random_ = random.Random(5)
+    for rho in (0.02, 0.2, 0.6):
+        hosts = []
+        for _ in range(4000):
+            rate = random_.betavariate(0.3 * (1 / rho - 1), 0.7 * (1 / rho - 1))
+            size = random_.choice([1, 1, 1, 2, 3, 8, 40])
+            hosts.append((size, sum(random_.random() < rate for _ in range(size))))
+        n = sum(a for a, _ in hosts)
+        m = sum(f for _, f in hosts) / n
+        got = quality.prior_strength(m, sum(a * (f / a - m) ** 2 for a, f in hosts), n, len(hosts), sum(a * a for a, _ in hosts))
+        assert got == pytest.approx(plain_strength(hosts))
+        assert got == pytest.approx(max(1, 1 / rho - 1), rel=0.25)
+    assert quality.prior_strength(0.0, 0.0, 0, 0, 0.0) == quality.STRONGEST
+
+
 def test_toxicity_finds_misspellings_in_held_out_documents(spark, docs, empty):
     rows = []
     for i in range(400):
