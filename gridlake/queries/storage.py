@@ -9,10 +9,12 @@ from gridlake.functions import text as X
 from gridlake.operators import evaluation as E
 from gridlake.operators import manifest as M
 from gridlake.plans import build as B
+from gridlake.plans.bounds import broadcast_if_small
 from gridlake.queries.evaluations import VOTE_SQL, vote_truth
 from gridlake.queries.fixtures import PAIRS, RAGGED, grids, pairs, predictions, ragged, text_sql
 from gridlake.queries.registry import query, table
 from gridlake.sources import conversations as C
+from gridlake.sources import entries as J
 from gridlake.sources import files as L
 from gridlake.sources import puzzles as P
 from gridlake.sources import sinks
@@ -133,6 +135,30 @@ def _image_files(spark, sf_dir):
     )
 
 
+# What every text gets at its end in the JSON file of the query below: brackets, quotes and escapes.
+HARD_TAIL = '"]} {[ \\" \\'
+
+
+@query("""select coalesce(lang, '') as file, doc_id::varchar as key, source, md5(text || '"]} {[ \\" \\') as text_md5 from documents""")
+def source_json_entries(spark, sf_dir):
+    """The documents of each language as one JSON file of objects, cut at every closing bracket and read piece by piece."""
+    docs = table(spark, sf_dir, "documents").withColumn("file", F.coalesce("lang", F.lit("")))
+    first = broadcast_if_small(docs.groupBy("file").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("end")))
+    record = F.struct(F.concat("text", F.lit(HARD_TAIL)).alias("text"), F.struct("source").alias("origin"))
+    entry = F.concat(F.lit('"'), "doc_id", F.lit('": '), F.to_json(record))
+    rows = docs.join(first, "file").select(
+        "file",
+        F.col("doc_id").alias("start"),
+        F.concat(F.when(F.col("doc_id") == F.col("first"), "{").otherwise(", "), entry, F.when(F.col("doc_id") == F.col("end"), " }").otherwise("")).alias("t"),
+    )
+    # Every entry ends with a bracket, so what follows the last one is empty.
+    cut = rows.select("file", "start", F.posexplode(F.split("t", r"\}")).alias("row", "line"), F.size(F.split("t", r"\}")).alias("n"))
+    pieces = cut.where("row < n - 1").select("file", "start", F.col("row").cast("long").alias("row"), "line")
+    entries = J.json_entries(pieces, "}")
+    parsed = entries.select("file", F.explode(F.from_json("value", "map<string, struct<text: string, origin: struct<source: string>>>")).alias("key", "v"))
+    return parsed.select("file", "key", F.col("v.origin.source").alias("source"), F.md5("v.text").alias("text_md5"))
+
+
 @query("""select 'puzzlevqa_' || doc_id as sample_id, text, lang as label, source as concept, md5(url) as payload_md5
 from documents join pages on page_id = doc_id where doc_id % 3 <> 0""")
 def source_puzzle_vqa(spark, sf_dir):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridlake.functions import text as X
 from gridlake.plans.bounds import broadcast_if_small, cut_lineage
 from gridlake.plans.ordered import prefix_sums, with_position
+from gridlake.sources.entries import read_records
 
 # File extensions of each modality.
 IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "bmp"]
@@ -286,7 +287,7 @@ MATH_SCHEMA = "pid string, image string, question string, answer string, subject
 
 def read_puzzle_vqa(spark: SparkSession, folder: str) -> DataFrame:
     base = folder.rstrip("/")
-    annotations = spark.read.schema(VQA_SCHEMA).option("multiLine", True).json(f"{base}/annotations.json")
+    annotations = read_records(spark, f"{base}/annotations.json", VQA_SCHEMA)
     return puzzle_vqa_samples(annotations, catalogue(spark, f"{base}/images"))
 
 
@@ -315,7 +316,7 @@ def math_vision_samples(problems: DataFrame, files: DataFrame) -> DataFrame:
 
 def read_math_vision(spark: SparkSession, folder: str) -> DataFrame:
     base = folder.rstrip("/")
-    problems = spark.read.schema(MATH_SCHEMA).option("multiLine", True).json(f"{base}/*.json")
+    problems = read_records(spark, f"{base}/*.json", MATH_SCHEMA)
     files = catalogue(spark, base)
     inside = F.regexp_extract("path", r"/" + base.rsplit("/", 1)[-1] + r"/(.*)$", 1)
     return math_vision_samples(problems, files.select(inside.alias("name"), F.col("content").alias("payload")))

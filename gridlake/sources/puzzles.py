@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridlake.plans.ordered import with_position
 from gridlake.plans.storage import exists
 from gridlake.schemas import LABEL, PUZZLE_FILE, SOLUTION_FILE
+from gridlake.sources.entries import read_json_entries
 
 
 def _label_grid(grid: Column) -> Column:
@@ -85,7 +86,8 @@ def challenge_samples(challenges: DataFrame, solutions: DataFrame, value: str =
 
 
 def read_puzzle_json(spark: SparkSession, path: str, kind: str = "puzzle") -> DataFrame:
-    return puzzle_samples(spark.read.text(path, wholetext=True), kind)
+    """Samples of JSON puzzle files, each read in many tasks."""
+    return puzzle_samples(read_json_entries(spark, path), kind)
 
 
 # Names of the challenge and solution files of a folder, training before evaluation.
@@ -100,9 +102,7 @@ def read_challenges(spark: SparkSession, folder: str) -> DataFrame:
     for challenge, solution in CHALLENGE_FILES:
         first, second = f"{folder.rstrip('/')}/{challenge}", f"{folder.rstrip('/')}/{solution}"
         if exists(spark, first) and exists(spark, second):
-            return challenge_samples(
-                spark.read.text(first, wholetext=True), spark.read.text(second, wholetext=True)
-            )
+            return challenge_samples(read_json_entries(spark, first), read_json_entries(spark, second, "]"))
     raise FileNotFoundError(f"no challenge files in {folder}")
 
 

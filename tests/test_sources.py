@@ -13,6 +13,7 @@ from gridlake.operators import manifest as M
 from gridlake.plans import build as B
 from gridlake.plans import registry as P
 from gridlake.sources import conversations as C
+from gridlake.sources import entries as J
 from gridlake.sources import files as L
 from gridlake.sources import puzzles as Z
 from gridlake.sources import registry as R
@@ -31,6 +32,58 @@ def test_puzzle_json(spark, tmp_path):
     assert got == [("p1_test_0", "4", "4", "kind"), ("p1_train_0", "1 2", "3", "kind")]
 
 
+HARD = ['plain', 'a "quoted" }', '}}]],[[{{', 'ends in a backslash \\', '\\"} {"x": [1]}', '\n\t},', 'ü€😀}', '', '\\\\"']
+
+
+def hard_entries(n):
+    r = random.Random(n)
+    value = lambda: {r.choice(HARD) + str(i): r.choice([HARD, {}, [], [[1, [2]]], {"k": {"]": "}"}}, None, 1.5]) for i in range(r.randrange(4))}
+    return [value() for _ in range(n)]
+
+
+@pytest.mark.parametrize("split", ["40", "1m"])
+@pytest.mark.parametrize("tight", [True, False])
+def test_json_file_in_many_splits(spark, tmp_path, split, tight, small_tasks):
+    """Brackets, quotes and escapes inside strings, entries across splits, and whatever white space."""
+    layout = {"separators": (",", ":")} if tight else {"indent": 2}
+    items = hard_entries(40)
+    named = {f'{i} "}}{{': x for i, x in enumerate(items)}
+    texts = {"array": items, "object": named, "grids": {str(i): [[[i, 1], [2]]] * (i % 3) for i in range(30)}, "mixed": [1, "}", {"a": 1}, [2], None, {}], "none": {}, "list": []}
+    for name, content in texts.items():
+        text = json.dumps(content, ensure_ascii=False, **layout)
+        (tmp_path / f"{name}.json").write_text(text if tight else f"\n {text}\n\n", encoding="utf-8")
+    (tmp_path / "empty.json").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        for close in "}]":
+            if split == "40" and close == "}":
+                assert J.read_pieces(spark, str(tmp_path / "object.json"), close).rdd.getNumPartitions() > 20
+            found = J.read_json_entries(spark, str(tmp_path), close).orderBy("file", "entry").collect()
+            for name, content in texts.items():
+                values = [json.loads(r.value) for r in found if r.file.endswith(f"/{name}.json")]
+                if isinstance(content, list):
+                    assert [x for v in values for x in v] == content
+                else:
+                    assert [x for v in values for x in v.items()] == list(content.items())
+                if (name, close) in {("object", "}"), ("array", "}")}:
+                    assert len(values) == len(content)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_records_of_arrays_and_of_single_objects(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": 1, "x": {"y": {}}, "q": "}"}, {"id": 2}, {"x": [], "q": "]"}]))
+    (tmp_path / "b.json").write_text(json.dumps({"x": {"y": {}}, "id": 3, "z": {}, "q": "{"}))
+    out = J.read_records(spark, str(tmp_path), "id string, q string")
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [("1", "}"), ("2", None), (None, "]"), ("3", "{")]))
+
+
+def test_json_file_that_breaks_off(spark, tmp_path):
+    (tmp_path / "cut.json").write_text('{"a": {"x": "}"}, "b": {"x": 1}, "c": {"x": ')
+    values = [r.value for r in J.read_json_entries(spark, str(tmp_path / "cut.json")).orderBy("entry").collect()]
+    assert [json.loads(v) for v in values[:2]] == [{"a": {"x": "}"}}, {"b": {"x": 1}}]
+
+
 def challenge_folder(tmp_path, kind="training"):
     ch = {"t": {"train": [{"input": [[1]], "output": [[2]]}], "test": [{"input": [[3]]}, {"input": [[5]]}]}, "lost": {"train": [], "test": []}}
     so = {"t": [[[4]], [[6]]], "other": [[[9]]]}
