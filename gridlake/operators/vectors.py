@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -128,19 +130,52 @@ def codebook_perplexity(usage: DataFrame, value: str = "n") -> DataFrame:
     return normalised_usage(usage, value).agg(F.exp(-F.sum(p * F.ln(p + F.lit(1e-10)))).alias("perplexity"))
 
 
+def vector_sums(df: DataFrame, key: str, vec: str, dim: int, max_values: int = CAPTURED_VALUES) -> DataFrame:
+    """(key, n, total): number and sum of the vectors of each key, of any dimension; null vectors are left out.
+
+    Every task adds up what it reads of a key before anything is shuffled, and the totals then meet by
+    key and dimension, so a hot key is spread over ``dim`` groups.  A task holds at most ``max_values`` numbers.
+    """
+    whole = df.where(F.col(vec).isNotNull()).select(key, vec)
+    schema = T.StructType([df.schema[key], T.StructField("n", T.LongType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
+    most = max(1, max_values // dim)
+
+    def flushed(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame({key: list(sums), "n": [n for n, _ in sums.values()], "total": [t for _, t in sums.values()]}).astype({key: object})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes, keys = pd.factorize(batch[key].astype(object).where(batch[key].notna(), None), use_na_sentinel=False)
+            order = np.argsort(codes, kind="stable")
+            counts = np.bincount(codes, minlength=len(keys))
+            totals = np.add.reduceat(np.stack(batch[vec].to_numpy())[order].astype(np.float64), np.cumsum(counts) - counts)
+            for k, n, t in zip(keys, counts.tolist(), totals):
+                before = sums.get(k, (0, 0.0))
+                sums[k] = (before[0] + n, before[1] + t)
+            if len(sums) > most:
+                yield flushed(sums)
+                sums = {}
+        if sums:
+            yield flushed(sums)
+
+    parts = whole.mapInPandas(add, schema).select(key, "n", F.posexplode("total").alias("_at", "_x"))
+    cells = parts.groupBy(key, "_at").agg(F.sum("n").alias("n"), F.sum("_x").alias("_x"))
+    by_key = cells.groupBy(key).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_c"))
+    return by_key.select(key, "n", F.transform("_c", lambda c: c["_x"]).alias("total"))
+
+
 def update_codebook(
     state: DataFrame, assigned: DataFrame, vec: str, dim: int, decay: float = 0.99
 ) -> DataFrame:
     """Moving-average codebook step with smoothed cluster sizes.
 
-    ``state(concept_id, size, total)`` holds the averages so far.  Counts and per-dimension sums come
-    from one grouped aggregate, so the shuffle carries one row per task and concept.
+    ``state(concept_id, size, total)`` holds the averages so far.  Counts and sums come from
+    ``vector_sums``, so the shuffle carries one row per task, concept and dimension.
     """
-    sums = assigned.groupBy("concept_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(F.get(vec, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)],
-    )
-    batch = sums.select("concept_id", "_n", F.array(*[F.col(f"_{i}") for i in range(dim)]).alias("_sum"))
+    batch = vector_sums(assigned, "concept_id", vec, dim).select("concept_id", F.col("n").alias("_n"), F.col("total").alias("_sum"))
     joined = state.join(batch, "concept_id", "left")
     keep, add = F.lit(decay), F.lit(1 - decay)
     moved = joined.select(
@@ -208,16 +243,70 @@ def lookup(requests: DataFrame, codebook: DataFrame, concept: str = "concept_id"
     return requests.join(broadcast_if_small(book), concept)
 
 
-def kmeans_concepts(df: DataFrame, key: str, vec: str, k: int = 2048, seed: int = 42, max_iter: int = 20):
-    """Cluster vectors into concepts: ``(assigned, codebook)``."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+GRAIN = 1 << 16  # steps per unit that k-means reads a component in, so its sums are whole numbers
 
-    data = df.select(key, array_to_vector(vec).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
-    assigned = model.transform(data).select(key, F.col("prediction").cast("long").alias("concept_id"))
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return assigned, df.sparkSession.createDataFrame(centres, "concept_id long, vec array<double>")
+
+def _seed_candidates(data: DataFrame, dim: int, k: int, rounds: int, seed: int) -> DataFrame:
+    """(concept_id, vec, weight): about 2 k vectors a round, drawn far from those drawn before.
+
+    A vector is drawn by a hash of its key, with a chance in proportion to its squared distance to the nearest
+    candidate (k-means||); its weight is the number of vectors nearest to it.
+    """
+    draw = lambda r: hash_number(hash_order(F.col("concept_id"), seed, r))
+    book = cut_lineage(data.orderBy(draw(0), "concept_id").limit(1))
+    for r in range(1, rounds + 1):
+        far = assign_codebook(data.withColumnRenamed("concept_id", "_id"), book, "_id", "vec", dim).select(F.col("_id").alias("concept_id"), "vec", "distance")
+        far = cut_lineage(far)
+        cost = float(far.agg(F.sum("distance")).first()[0] or 0.0)
+        drawn = far.where(draw(r).cast("double") * F.lit(cost) < F.lit(2.0 * k * 2.0**32) * F.col("distance"))
+        book = cut_lineage(book.unionByName(drawn.select("concept_id", "vec")))
+    near = assign_codebook(data.withColumnRenamed("concept_id", "_id"), book, "_id", "vec", dim)
+    return book.join(near.groupBy("concept_id").agg(F.count("*").alias("weight")), "concept_id")
+
+
+def _spread_out(candidates: DataFrame, k: int) -> list[list[float]]:
+    """The heaviest candidate, then the one with the most weight times squared distance to those taken, k in all.
+
+    Ties go to the smaller id.  There are some 2 k candidates a round, however many vectors there are.
+    """
+    rows = sorted(candidates.collect(), key=lambda r: r["concept_id"])
+    vectors = np.array([r["vec"] for r in rows], np.float64)
+    weight = np.array([r["weight"] for r in rows], np.float64)
+    taken, gap = [], np.ones(len(rows))
+    while len(taken) < k and (weight * gap).max(initial=0.0) > 0:
+        best = int((weight * gap).argmax())
+        distance = ((vectors - vectors[best]) ** 2).sum(1)
+        gap = np.minimum(gap, distance) if taken else distance
+        taken.append(best)
+    return [vectors[i].tolist() for i in taken]
+
+
+def kmeans_concepts(df: DataFrame, key: str, vec: str, dim: int, k: int = 2048, seed: int = 42, max_iter: int = 20, rounds: int = 3):
+    """Cluster vectors into concepts: ``(assigned, codebook)``; runs repeat exactly.
+
+    Components are read in steps of 1 / ``GRAIN`` and centres are rounded to them, so sums and distances
+    are whole numbers that doubles hold exactly, in whatever order tasks add them (components up to 64
+    at 1024 dimensions).  Starts are read from hashes; ties go to the smaller concept, and a concept that loses
+    all vectors keeps its centre.  ``key`` is unique.  Null vectors take no part; with fewer different vectors
+    than ``k`` there are fewer concepts.
+    """
+    grains = F.transform(vec, lambda x: F.floor(x.cast("double") * GRAIN).cast("double"))
+    data = cut_lineage(df.where(F.col(vec).isNotNull()).select(F.col(key).alias("concept_id"), grains.alias("vec")))
+    centres = _spread_out(_seed_candidates(data, dim, k, rounds, seed), k)
+    spark = df.sparkSession
+    points = data.withColumnRenamed("concept_id", "_id")
+    book = lambda rows, unit: spark.createDataFrame([(i, [x / unit for x in c]) for i, c in enumerate(rows)], "concept_id long, vec array<double>")
+    for _ in range(max_iter if centres else 0):
+        near = assign_codebook(points, book(centres, 1), "_id", "vec", dim)
+        middle = F.transform("total", lambda t: F.floor((2 * t + F.col("n")) / (2 * F.col("n"))).cast("double"))
+        # One row per concept, which the codebook of every assignment holds anyway.
+        moved = {r["concept_id"]: list(r["vec"]) for r in vector_sums(near, "concept_id", "vec", dim).select("concept_id", middle.alias("vec")).collect()}
+        after = [moved.get(i, c) for i, c in enumerate(centres)]
+        if after == centres:
+            break
+        centres = after
+    assigned = assign_codebook(points, book(centres, 1), "_id", "vec", dim) if centres else points.withColumn("concept_id", F.lit(None).cast("long"))
+    return assigned.select(F.col("_id").alias(key), "concept_id"), book(centres, GRAIN)
 
 
 def representative_phrases(

@@ -156,12 +156,60 @@ def vq_commitment(spark, sf_dir):
     return V.commitment_loss(looked, "embedding", "looked_up").withColumn("commitment", F.round("commitment", 6))
 
 
-@query()
+def _kmeans_sql(k: int, rounds: int, steps: int, seed: int = 42) -> str:
+    """Seeding and steps of the clustering one after the other, over whole numbers."""
+    draw = lambda r: f"('0x' || substr(md5(vec_id::varchar || '|{seed}|{r}'), 1, 8))::bigint"
+    near = lambda book: (
+        f"select vec_id, min(d) as d, arg_min(cid, d * 4294967296::hugeint + cid) as cid from "
+        f"(select g.vec_id, b.cid, sum((g.x - b.x) * (g.x - b.x)) as d from g join {book} b using (i) group by all) group by vec_id"
+    )
+    ctes = [
+        "g as (select vec_id, i, floor(embedding[i + 1]::double * 65536)::bigint as x from embeddings, range(64) t(i))",
+        "ids as (select distinct vec_id from g)",
+        f"c0 as materialized (select vec_id as cid, i, x from g where vec_id = (select vec_id from ids order by {draw(0)}, vec_id limit 1))",
+    ]
+    for r in range(1, rounds + 1):
+        ctes += [
+            f"n{r} as materialized ({near(f'c{r - 1}')})",
+            f"c{r} as materialized (select * from c{r - 1} union all select vec_id, i, x from g where vec_id in (select vec_id from n{r} "
+            f"where {draw(r)}::double * (select sum(d) from n{r})::double < {2 * k * 2**32}::double * d::double))",
+        ]
+    ctes += [
+        f"w as materialized (select cid, count(*) as weight from ({near(f'c{rounds}')}) group by cid)",
+        f"pairs as materialized (select a.cid, b.cid as other, sum((a.x - b.x) * (a.x - b.x)) as d from c{rounds} a join c{rounds} b using (i) group by all)",
+        "s0 as materialized (select cid, 0 as concept_id from w order by weight desc, cid limit 1)",
+    ]
+    for j in range(1, k):
+        ctes.append(
+            f"s{j} as materialized (select * from s{j - 1} union all (select cid, {j} from w join (select p.cid, min(d) as d from pairs p join s{j - 1} s on p.other = s.cid "
+            f"group by p.cid) using (cid) where d > 0 order by weight * d desc, cid limit 1))"
+        )
+    ctes.append(f"b0 as materialized (select concept_id::bigint as cid, i, x from s{k - 1} join c{rounds} using (cid))")
+    for t in range(1, steps + 1):
+        ctes += [
+            f"a{t} as materialized ({near(f'b{t - 1}')})",
+            f"b{t} as materialized (select b.cid, i, coalesce(m.x, b.x) as x from b{t - 1} b left join (select cid, i, "
+            f"floor((2 * sum(x) + count(*))::double / (2 * count(*)))::bigint as x from g join a{t} using (vec_id) group by cid, i) m using (cid, i))",
+        ]
+    ctes.append(f"fin as ({near(f'b{steps}')})")
+    return "with " + ",\n".join(ctes)
+
+
+@query(_kmeans_sql(16, 2, 5) + """
+select cid as concept_id, n, size, norm from (select cid, sum((x * x)::bigint)::double as norm from b5 group by cid)
+left join (select cid, count(*) as n, sum(d)::double as size from fin group by cid) using (cid)""")
 def kmeans_concepts(spark, sf_dir):
-    """Clusters of all vectors; the result depends on the clustering's own random start."""
+    """Clusters of all vectors: members, squared distances in them and squared length of the centre, in grains."""
     emb = embeddings(spark, sf_dir)
-    found, book = V.kmeans_concepts(emb, "vec_id", "embedding", k=16, max_iter=10)
-    return V.codebook_usage(found, book)
+    found, book = V.kmeans_concepts(emb, "vec_id", "embedding", DIM, k=16, max_iter=5, rounds=2)
+    grains = F.transform("embedding", lambda x: F.floor(x.cast("double") * V.GRAIN))
+    centre = book.select("concept_id", F.transform("vec", lambda x: F.round(x * V.GRAIN).cast("long")).alias("centre"))
+    off = F.zip_with("v", "centre", lambda a, b: (a - b) * (a - b))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
+    members = emb.select("vec_id", grains.alias("v")).join(found, "vec_id").join(F.broadcast(centre), "concept_id")
+    sums = members.groupBy("concept_id").agg(F.count("*").alias("n"), F.sum(total(off)).cast("double").alias("size"))
+    norm = total(F.transform("centre", lambda x: x * x)).cast("double").alias("norm")
+    return centre.select("concept_id", norm).join(sums, "concept_id", "left")
 
 
 PHRASE_SQL = f"""{BOOK_SQL},

@@ -119,11 +119,58 @@ def test_phrases(spark):
     assert common[7] == "y a"
 
 
-def test_kmeans_assigns_every_vector(spark, data):
-    _, df = data
-    assigned, book = V.kmeans_concepts(df, "id", "vec", k=5, max_iter=5)
-    assert assigned.count() == 120 and book.count() == 5
-    assert assigned.join(book, "concept_id", "left_anti").count() == 0
+def test_kmeans_repeats_and_settles(spark, data):
+    """Same result however the rows lie, and every concept is the rounded mean of the vectors nearest to it."""
+    vecs, df = data
+    runs = []
+    for parts in (1, 7):
+        assigned, book = V.kmeans_concepts(df.repartition(parts), "id", "vec", 6, k=5, max_iter=50)
+        runs.append(({r.id: r.concept_id for r in assigned.collect()}, {r.concept_id: r.vec for r in book.collect()}))
+    assert runs[0] == runs[1]
+    found, book = runs[0]
+    grains = np.floor(vecs * V.GRAIN)
+    centres = np.array([book[i] for i in range(5)]) * V.GRAIN
+    want = ((grains[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert found == dict(enumerate(want.tolist()))
+    for i in range(5):
+        mine = grains[want == i]
+        assert (centres[i] == np.floor((2 * mine.sum(0) + len(mine)) / (2 * len(mine)))).all()
+
+
+def test_kmeans_finds_separate_groups(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(8, 4)) * 20
+    # One group holds a third of the rows.
+    group = [0 if i % 3 == 0 else i % 8 for i in range(400)]
+    rows = [(i, [float(x) for x in middles[g] + rng.normal(size=4) * 0.1]) for i, g in enumerate(group)]
+    assigned, _ = V.kmeans_concepts(spark.createDataFrame(rows, "id long, vec array<double>"), "id", "vec", 4, k=8)
+    pairs = {(group[r.id], r.concept_id) for r in assigned.collect()}
+    assert len(pairs) == 8 == len({c for _, c in pairs})
+
+
+def test_kmeans_of_few_vectors(spark):
+    schema = "id long, vec array<double>"
+    same = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(6)] + [(9, None)], schema)
+    assigned, book = V.kmeans_concepts(same, "id", "vec", 2, k=4)
+    assert book.count() == 2 and assigned.count() == 6
+    assert len({(r.id % 2, r.concept_id) for r in assigned.collect()}) == 2
+    assigned, book = V.kmeans_concepts(spark.createDataFrame([], schema), "id", "vec", 2, k=4)
+    assert assigned.count() == 0 and book.count() == 0
+
+
+@pytest.mark.parametrize("max_values", [10**7, 3000])
+def test_vector_sums(spark, max_values):
+    """1024 dimensions, a hot key, a null key; every task sends one row a key, or flushes when it holds too many."""
+    rng = np.random.default_rng(4)
+    vecs = rng.integers(-50, 50, size=(90, 1024))
+    keys = [None if i % 10 == 0 else "hot" if i % 3 == 0 else f"k{i % 7}" for i in range(90)]
+    rows = [(k, [float(x) for x in v]) for k, v in zip(keys, vecs)] + [("hot", None)]
+    df = spark.createDataFrame(rows, "k string, vec array<float>").repartition(5)
+    got = {r.k: (r.n, r.total) for r in V.vector_sums(df, "k", "vec", 1024, max_values).collect()}
+    assert set(got) == set(keys)
+    for k in set(keys):
+        mine = vecs[[x == k for x in keys]]
+        assert got[k] == (len(mine), mine.sum(0).tolist())
 
 
 def test_memory_policy(spark):
