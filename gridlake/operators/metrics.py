@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlake.operators.vectors import vector_sums
 from gridlake.plans.ordered import bounded_window, drop_layout, prefix_sums, with_position
 
 
@@ -218,10 +219,5 @@ def load_balance(df: DataFrame, worker: str, cost: str) -> DataFrame:
 
 
 def keyed_vector_sum(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
-    """Element-wise sum of the vectors of each key, and its sign.
-
-    One sum column per dimension gives a single hash aggregate with partial sums and no explode.
-    """
-    sums = df.groupBy(key).agg(*[F.sum(F.get(vec, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)])
-    parts = F.array(*[F.col(f"_{i}") for i in range(dim)])
-    return sums.select(key, parts.alias("total"), F.transform(parts, F.signum).alias("sign"))
+    """Element-wise sum of the vectors of each key, and its sign; null vectors are left out."""
+    return vector_sums(df, key, vec, dim).select(key, "total", F.transform("total", F.signum).alias("sign"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import grid as G
 from gridlake.functions import objects as O
+from gridlake.operators import expand as X
 from gridlake.operators import quality as Q
 from gridlake.queries.fixtures import (
     BINARY,
@@ -109,6 +110,26 @@ def grid_augment(spark, sf_dir):
     return Q.augment_dihedral(src).select("sample_id", G.to_text(g()).alias("grid"))
 
 
+@query(f"""with {RAGGED}, {DIHEDRAL_SQL}, t as ({text_sql('forms', 'grid_id, tid')})
+select grid_id::varchar || case when tid = 0 then '' else '_aug' || tid end as sample_id, tid::int as tid, grid from t""")
+def augment_lateral(spark, sf_dir):
+    """The eight forms by a table function that SQL calls once a row."""
+    X.register(spark)
+    ragged(spark, sf_dir).createOrReplaceTempView("_ragged_grids")
+    forms = spark.sql("select f.* from _ragged_grids g, lateral augment_sample(cast(g.grid_id as string), g.grid) f")
+    return forms.select("sample_id", "tid", G.to_text(g()).alias("grid"))
+
+
+@query(f"""with {RAGGED}, {DIHEDRAL_SQL}, t as ({text_sql('forms', 'grid_id, tid')}),
+f as (select grid_id, grid, min(tid) as tid from t group by grid_id, grid)
+select grid_id::varchar || case when tid = 0 then '' else '_aug' || tid end as sample_id, tid::int as tid, grid from f""")
+def distinct_forms(spark, sf_dir):
+    """Forms of each grid that differ, by a table function over the forms of one grid at a time."""
+    forms = X.augment_samples(ragged(spark, sf_dir).withColumnRenamed("grid_id", "sample_id"))
+    named = forms.withColumn("source_id", F.split("sample_id", "_aug")[0])
+    return X.distinct_forms(named).select("sample_id", "tid", G.to_text(g()).alias("grid"))
+
+
 @query(f"""with {PAIRS},
 d as (select distinct pair_id, md5(pair_id::varchar || '|42') as h from pin),
 drawn as (

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlake.functions import grid as G
+from gridlake.operators import expand as E
 from gridlake.operators import quality as Q
 
 SHAPES = [(1, 1), (1, 5), (4, 1), (2, 3), (3, 2), (30, 30)]
@@ -151,3 +152,23 @@ def test_rule_verification(spark):
     assert funnel == {"a": (3, 3, 2, 2, 1), "b": (1, 1, 1, 0, 0)}
     capped = Q.verified_examples(rows, lambda g: F.reverse(F.transform(g, F.reverse)), ["task"], "seq", cap=1)
     assert capped.groupBy("task").count().where("count > 1").count() == 0
+
+
+def test_table_functions_equal_the_column_form(spark):
+    """Lateral calls in SQL and DataFrames give the rows of ``augment_dihedral``; equal forms of a sample fold."""
+    grids = [("a", [[1, 2], [3, 4]]), ("b", [[1, 1], [1, 1]]), ("c", [[1, 2, 3]]), ("d_aug", [[0]]), ("e", None)]
+    df = spark.createDataFrame(grids, "sample_id string, grid array<array<int>>")
+    plain = lambda x: sorted((r.sample_id, str(r.grid)) for r in x.where("sample_id not like 'e%'").collect())
+    want = plain(Q.augment_dihedral(df))
+    assert plain(E.augment_samples(df)) == want and len(want) == 32
+    assert E.augment_samples(df).where("sample_id like 'e%' and grid is null").count() == 8
+    E.register(spark)
+    df.createOrReplaceTempView("_samples")
+    assert plain(spark.sql("select f.* from _samples s, lateral augment_sample(s.sample_id, s.grid) f")) == want
+    forms = E.augment_samples(df).withColumn("source_id", F.substring("sample_id", 1, 1))
+    counts = E.distinct_forms(forms).groupBy(F.substring("sample_id", 1, 1).alias("s")).count().collect()
+    assert {r["s"]: r["count"] for r in counts} == {"a": 8, "b": 1, "c": 4, "d": 1, "e": 1}
+    forms.createOrReplaceTempView("_forms")
+    sql = "select * from distinct_forms(table(select source_id, sample_id, tid, grid from _forms) partition by source_id order by tid)"
+    assert spark.sql(sql).count() == 15
+    assert E.augment_samples(df.limit(0)).count() == 0
