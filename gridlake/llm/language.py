@@ -281,6 +281,11 @@ def identify_pages(pages: DataFrame) -> DataFrame:
     return found.drop("__body")
 
 
+def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and verdict of every raw page, from its text, markup, address suffix and host; one row per input row."""
+    return identify_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", host_of(F.col("url")).alias("host"), suffix_of(F.col("url")).alias("suffix"), "language_id.*")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and verdict of every document; one row per input row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")

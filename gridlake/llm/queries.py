@@ -6,7 +6,7 @@ from gridlake.llm.alignment import op13_alignment
 from gridlake.llm.bpe import op3_bpe
 from gridlake.llm.divergence import SQL as DIVERGENCE_SQL
 from gridlake.llm.divergence import op12_divergence
-from gridlake.llm.language import op8_language
+from gridlake.llm.language import language_pages, op8_language
 from gridlake.llm.lm import op9_lm
 from gridlake.llm.mixing import op10_mixing
 from gridlake.llm.neardup import op6_neardup
@@ -33,6 +33,7 @@ QUERIES = {
     "op11_winnowing": op11_winnowing,
     "op12_divergence": op12_divergence,
     "op13_alignment": op13_alignment,
+    "language_pages": language_pages,
 }
 
 ORACLES: dict[str, str] = {

@@ -395,6 +395,37 @@ def test_language_of_pages_agrees_with_their_markup(spark):
     assert len(got) == pages.count() and sum(r["language"] == r["tag"] for r in got) >= 0.9 * sum(r["tag"] != "" for r in got)
 
 
+def test_language_evidence_of_pages(spark):
+    """Where the text says little, markup, host and suffix each decide; a clear text outweighs them."""
+    german = ["der Hund und die Katze schlafen nicht", "ich gehe heute noch in die Stadt", "wir haben das Haus schon gesehen"]
+    french = ["le chien et la souris ne mangent pas", "je vais encore dans la ville", "nous avons vu une belle maison"]
+    page = lambda lang, text: f"<html{f' lang={lang}' if lang else ''}><script>var a='the';</script><p>{text} {text}</p></html>"
+    rows = []
+    for k in range(30):
+        rows.append((f"http://h{k % 3}.de/{k}", page("de", german[k % 3])))
+        rows.append((f"https://h{k % 3}.fr/{k}", page("fr", french[k % 3])))
+        # Two hosts of one suffix, one a language.
+        rows.append((f"http://{'g' if k % 2 else 'f'}.com/{k}", page("de", german[k % 3]) if k % 2 else page("fr", french[k % 3])))
+    cases = {
+        "markup de": ("http://none.org/", page("de", "w")), "markup fr": ("http://none.org/", page("fr", "w")),
+        "host de": ("http://g.com/x", page("", "w")), "host fr": ("http://f.com/x", page("", "w")),
+        "suffix de": ("http://unseen.de/", page("", "w")), "suffix fr": ("http://unseen.fr/", page("", "w")),
+        "text de": ("http://unseen.fr/", page("fr", " ".join(german))), "text fr": ("http://h0.de/", page("de", " ".join(french))),
+        "nothing": (None, None), "no letters": ("http://h0.de/", page("de", "12 34")),
+    }
+    schema = "name string, url string, html string, text string, host string, language_id string"
+    given = [(None, u, h, "x", "y", "z") for u, h in rows] + [(n, u, h, "x", "y", "z") for n, (u, h) in cases.items()]
+    pages = spark.createDataFrame(given, schema)
+    found = language.identify_pages(pages)
+    assert found.columns == ["name", "url", "html", "text", "host", "language_id"] and found.count() == len(given)
+    got = {r["name"]: r["language_id"] for r in found.where("name is not null").collect()}
+    for name in cases:
+        if name[-2:] in ("de", "fr"):
+            assert got[name]["language"] == name[-2:], name
+    assert not got["nothing"]["kept"] and not got["no letters"]["kept"] and got["no letters"]["language"] is None
+    assert language.identify_pages(pages.limit(0)).count() == 0
+
+
 def test_lm_scores(spark, docs, empty):
     got = [x for x in collected(lm.score_texts(docs, chunk_chars=3000)) if x["doc_id"] is not None]
     rows = [*enumerate(TEXTS), (7, TEXTS[7])]
