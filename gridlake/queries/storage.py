@@ -242,6 +242,18 @@ def indexed_gather(spark, sf_dir):
     return L.gather_rows(indexed, wanted).select("pos", "doc_id")
 
 
+@query("""with d as (select doc_id, source, row_number() over () - 1 as i from documents),
+w as (select event_id as pos, (event_id * 37) % (select count(*) from documents) as i from events)
+select pos, i as global_index, doc_id, source from w join d using (i)""")
+def indexed_lookup(spark, sf_dir):
+    """The same rows through an index of the files, which tells the files to read and the places in them."""
+    path = f"{sf_dir}/documents.parquet"
+    index = L.file_index(spark, path)
+    n = index.agg(F.sum("n")).first()[0] or 1
+    wanted = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), ((F.col("event_id") * 37) % n).alias("global_index"))
+    return L.read_wanted(spark, path, index, wanted).select("pos", "global_index", "doc_id", "source")
+
+
 @query("""select conv_id, row_number() over (partition by conv_id order by turn) - 1 as turn, role, text from conversations""")
 def conversation_roundtrip(spark, sf_dir):
     """Conversations exported in parts of three messages and imported again."""

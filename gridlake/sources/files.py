@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -67,10 +69,10 @@ def file_samples(files: DataFrame, **include: bool) -> DataFrame:
 
 
 def image_samples(files: DataFrame) -> DataFrame:
-    """Image files, numbered in path order."""
+    """Image files, numbered in path order; only their paths are put in order, not their bytes."""
     images = files.where(extension(F.col("path")).isin(STREAMED_IMAGE_EXTENSIONS))
-    numbered = with_position(images, [], ["path"], "_at")
-    return numbered.select(
+    numbers = with_position(images.select("path"), [], ["path"], "_at")
+    return images.join(broadcast_if_small(numbers), "path").select(
         F.concat_ws("_", F.lit("img"), stem(F.col("path")), "_at").alias("sample_id"),
         F.lit("image").alias("modality"),
         F.col("content").alias("payload"),
@@ -394,3 +396,59 @@ def slice_rows(indexed: DataFrame, start: int, stop: int) -> DataFrame:
 def gather_rows(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows by index, one per request; ``wanted(pos, global_index)`` keeps the requested order."""
     return wanted.join(indexed, "global_index")
+
+
+def file_index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, offset) of a Parquet folder: rows of each file and the number of its first, files by name.
+
+    No column is read, so the counts come from the footers. The table is small and can be stored beside the files.
+    """
+    placed = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"))
+    counts = cut_lineage(placed.groupBy("file").agg(F.count(F.lit(1)).alias("n")))
+    return cut_lineage(prefix_sums(counts, [], ["file"], {"offset": F.col("n")}, inclusive=False))
+
+
+def locate_rows(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with ``file`` and ``row``: where the row numbered ``global_index`` is stored; unknown numbers go.
+
+    Numbers and files meet by stretches as long as a file on average, of which there are at most three a file.
+    """
+    width = F.greatest(F.lit(1), F.ceil(F.coalesce(index.agg(F.avg("n")).scalar(), F.lit(1.0)))).cast("long")
+    reach = F.sequence(F.expr("offset div _w"), F.expr("(offset + n - 1) div _w"))
+    spans = index.where("n > 0").withColumn("_w", width).select("file", "offset", "n", F.explode(reach).alias("_s"))
+    asked = wanted.withColumn("_w", width).withColumn("_s", F.expr("global_index div _w")).drop("_w")
+    met = asked.join(broadcast_if_small(spans), "_s").where("global_index >= offset and global_index < offset + n")
+    return met.withColumn("row", F.col("global_index") - F.col("offset")).drop("_s", "offset", "n")
+
+
+def _only_files(spark: SparkSession, path: str, files: DataFrame, most: int) -> DataFrame:
+    """The Parquet folder cut to some files; beyond ``most`` of them the whole folder is scanned."""
+    whole = spark.read.parquet(path)
+    names = [r["file"] for r in files.select("file").distinct().limit(most + 1).collect()]
+    if not names:
+        return whole.limit(0)
+    if len(names) > most:
+        return whole
+    # File names come encoded as addresses, and paths may hold patterns.
+    plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(name)) for name in sorted(names)]
+    return spark.read.schema(whole.schema).parquet(*plain)
+
+
+MOST_FILES = 10_000
+
+
+def read_range(spark: SparkSession, path: str, index: DataFrame, start: int, stop: int, most: int = MOST_FILES) -> DataFrame:
+    """Rows ``start`` to ``stop - 1`` with their ``global_index``; only the files that hold them are read."""
+    held = cut_lineage(index.where((F.col("offset") < stop) & (F.col("offset") + F.col("n") > start)))
+    rows = _only_files(spark, path, held, most)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("_row"))
+    numbered = placed.join(broadcast_if_small(held.select("file", "offset")), "file")
+    return slice_rows(numbered.withColumn("global_index", F.col("offset") + F.col("_row")), start, stop).drop("file", "_row", "offset")
+
+
+def read_wanted(spark: SparkSession, path: str, index: DataFrame, wanted: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """Rows by number, one per request of ``wanted(pos, global_index)``; only the files that hold them are read."""
+    located = cut_lineage(locate_rows(index, wanted.select("pos", "global_index")))
+    rows = _only_files(spark, path, located, most)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return broadcast_if_small(located).join(placed, ["file", "row"]).drop("file", "row")

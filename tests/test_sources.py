@@ -225,6 +225,30 @@ def test_indexed_table(spark, tmp_path):
     assert [r.id for r in L.gather_rows(indexed, wanted).orderBy("pos").collect()] == [25, 0, 25]
 
 
+@pytest.mark.parametrize("most", [100, 1])
+def test_lookup_reads_only_its_files(spark, tmp_path, most, small_tasks):
+    """Files of very different sizes, names with blanks and patterns; equal to numbering the whole folder."""
+    (tmp_path / "t").mkdir()
+    for part, n in enumerate([4, 0, 30, 1, 1, 9]):
+        spark.range(part * 100, part * 100 + n).coalesce(1).write.parquet(str(tmp_path / f"in{part}"))
+        for source in (tmp_path / f"in{part}").glob("*.parquet"):
+            (tmp_path / "t" / f"f {part} [a]{{x}}%.parquet").write_bytes(source.read_bytes())
+    path = str(tmp_path / "t")
+    index = L.file_index(spark, path)
+    everything = {r.global_index: r.id for r in L.with_global_index(spark.read.parquet(path).select("id", "_metadata")).collect()}
+    assert len(everything) == 45
+    for start, stop in [(0, 45), (3, 5), (34, 36), (44, 90), (45, 50), (7, 7)]:
+        got = L.read_range(spark, path, index, start, stop, most)
+        assert {r.global_index: r.id for r in got.collect()} == {k: v for k, v in everything.items() if start <= k < stop}
+    asked = [(0, 34), (1, 0), (2, 34), (3, 44), (4, 99), (5, 33)]
+    wanted = spark.createDataFrame(asked, "pos int, global_index long")
+    got = L.read_wanted(spark, path, index, wanted, most)
+    assert {r.pos: r.id for r in got.collect()} == {p: everything[i] for p, i in asked if i in everything}
+    near = L.read_range(spark, path, index, 5, 6, most)
+    assert len(near.inputFiles()) == 1
+    assert L.read_wanted(spark, path, index, wanted.limit(0), most).count() == 0
+
+
 def test_record_mapping(spark):
     df = spark.createDataFrame([("", "cap", None, "7"), ("t", "cap", "i", None)], "text string, caption string, img string, answer string")
     got = rows(L.map_records(df, F.lit("x"), "src"), "modality", "text", "image", "label")
