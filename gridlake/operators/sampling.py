@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.plans.bounds import broadcast_if_small, cut_lineage
-from gridlake.plans.ordered import hash_number, hash_order, with_position
+from gridlake.plans.ordered import hash_number, hash_order, join_by, rows_from, with_position
 
 
 def train_split(df: DataFrame, key: str, ratio: float = 0.9, seed: int = 42) -> DataFrame:
@@ -42,18 +42,21 @@ def test_batches(df: DataFrame, keys: list[str], order: list[str], batch_size: i
     )
 
 
-def numbered_batches(df: DataFrame, order: list[str], batch_size: int = 256) -> DataFrame:
-    """Fixed-size batches in arrival order."""
-    numbered = with_position(df, [], order, "_at")
-    return numbered.withColumn("batch_id", F.floor(F.col("_at") / batch_size)).drop("_at")
+def numbered_batches(df: DataFrame, order: list[str], batch_size: int = 256, stored: DataFrame | None = None) -> DataFrame:
+    """Fixed-size batches in arrival order, a total order; those in ``stored(batch_id)`` are left out.
+
+    The order columns alone are numbered, and only rows of the batches asked for are moved.
+    """
+    numbered = with_position(df.select(*order), [], order, "_at")
+    numbered = numbered.withColumn("batch_id", F.floor(F.col("_at") / batch_size)).drop("_at")
+    if stored is not None:
+        numbered = numbered.join(stored, "batch_id", "left_anti").select(*order, "batch_id")
+    return join_by(df, numbered, order)
 
 
 def skip_rows(df: DataFrame, order: list[str], n: int, take: int | None = None) -> DataFrame:
-    """Resume after ``n`` rows, optionally with at most ``take`` rows."""
-    numbered = with_position(df, [], order, "_at").where(F.col("_at") >= n)
-    if take is not None:
-        numbered = numbered.where(F.col("_at") < n + take)
-    return numbered.drop("_at")
+    """Resume after ``n`` rows of a total order, optionally with at most ``take`` rows."""
+    return rows_from(df, order, n, None if take is None else n + take)
 
 
 # --- distribution learning ----------------------------------------------------------------------

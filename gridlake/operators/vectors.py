@@ -424,7 +424,8 @@ def attention_read(queries: DataFrame, bank: DataFrame, bits: int, k: int, dim:
     memory = loaded.groupBy("query_code").agg(
         F.array_sort(F.collect_list(F.struct("rank", "key_vec", "value_vec"))).alias("_m")
     )
-    joined = queries.join(broadcast_if_small(memory, 2**MAX_CODE_BITS), queries["code"] == F.col("query_code"))
+    # Few codes, but each with k vectors: whether they may be broadcast is a matter of bytes.
+    joined = queries.join(broadcast_if_small(cut_lineage(memory)), queries["code"] == F.col("query_code"))
     scores = F.transform("_m", lambda m: N.dot(F.col("vec"), m["key_vec"]) / F.lit(float(dim) ** 0.5))
     weighted = joined.withColumn("_w", N.softmax(scores))
     zeros = F.array_repeat(F.lit(0.0), dim)

@@ -206,6 +206,49 @@ def last_rows(df: DataFrame, seq: str, n: int, limit: int | None = None) -> Data
     return numbered.where(F.col("_from") >= total - n).drop("_from")
 
 
+def late_position(df: DataFrame, order: list[str], out: str = "pos", limit: int | None = None) -> DataFrame:
+    """Like ``with_position`` over the whole table, without moving whole rows through a sort.
+
+    Only the order columns, a total order, are numbered; the numbers then meet their rows by a
+    shuffle on those columns, which spreads the rows evenly as no two share their key.
+    """
+    slim = with_position(df.select(*order), [], order, out, limit)
+    return join_by(df, slim, order)
+
+
+def join_by(df: DataFrame, numbers: DataFrame, order: list[str]) -> DataFrame:
+    """Rows of ``df`` with the other columns of ``numbers``; both are unique in ``order``, nulls included."""
+    if set(df.columns) == set(order):
+        return numbers.select(*df.columns, *[c for c in numbers.columns if c not in order])
+    keys = {c: f"_k{i}" for i, c in enumerate(order)}
+    match = F.lit(True)
+    for c, k in keys.items():
+        match = match & F.col(c).eqNullSafe(F.col(k))
+    return df.join(numbers.withColumnsRenamed(keys), match).drop(*keys.values())
+
+
+def rows_from(df: DataFrame, order: list[str], start: int, stop: int | None = None, limit: int | None = None) -> DataFrame:
+    """The rows at positions ``start <= position < stop`` of a total order.
+
+    The order columns alone are searched for the values at the two ends; the rows are then filtered
+    where they are, without a shuffle.
+    """
+
+    def value_at(n: int) -> Column:
+        slim = df.select(F.struct(*order).alias("_o"), *order)
+        if n < TOP_ROWS:
+            ends = slim.orderBy(*order).limit(n + 1).agg(F.max("_o").alias("_o"), F.count(F.lit(1)).alias("_n"))
+            return ends.select(F.when(F.col("_n") > n, F.col("_o"))).scalar()
+        return with_position(df.select(*order), [], order, "_at", limit).where(F.col("_at") == n).agg(F.min(F.struct(*order))).scalar()
+
+    if stop is not None and stop <= max(start, 0):
+        return df.limit(0)
+    here = F.struct(*order)
+    kept = df if start <= 0 else df.where(here >= value_at(start))
+    # No row at the upper end: the table ends before it.
+    return kept if stop is None else kept.where(F.coalesce(here < value_at(stop), F.lit(True)))
+
+
 def first_rows(df: DataFrame, order: Column | list[Column], n: int, limit: int | None = None) -> DataFrame:
     """The ``n`` rows that come first in a total order."""
     parts = order if isinstance(order, list) else [order]

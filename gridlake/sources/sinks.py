@@ -20,11 +20,8 @@ def write_batches(df: DataFrame, path: str, order: list[str], batch_size: int =
     Batches lie in folders of one hundred, so the number of folders stays moderate.
     """
     spark = df.sparkSession
-    numbered = numbered_batches(df, order, batch_size)
-    if exists(spark, path):
-        stored = spark.read.parquet(path).select("batch_id").distinct()
-        numbered = numbered.join(stored, "batch_id", "left_anti")
-    _by_group(numbered).write.mode("append").partitionBy("batch_group").parquet(path)
+    stored = spark.read.parquet(path).select("batch_id").distinct() if exists(spark, path) else None
+    _by_group(numbered_batches(df, order, batch_size, stored)).write.mode("append").partitionBy("batch_group").parquet(path)
 
 
 def _by_group(df: DataFrame) -> DataFrame:

@@ -84,6 +84,65 @@ def test_broadcast_only_when_small(spark):
     assert "Hint" not in plain
 
 
+def test_broadcast_is_bounded_by_bytes(spark):
+    """Few rows of long values aren't broadcast, nested ones included."""
+    wide = spark.range(40).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    nested = spark.range(40).select(F.array(F.struct("id", F.array_repeat(F.lit(1.5), 1_000).alias("v"))).alias("m"))
+    maps = spark.range(40).select(F.create_map(F.lit("a"), F.repeat(F.lit("x"), 10_000)).alias("m"))
+    nulls = spark.range(40).select(F.lit(None).cast("string").alias("t"), F.lit(None).cast("array<string>").alias("a"), F.lit(None).cast("map<string,int>").alias("m"))
+    spark.conf.set("gridlake.broadcast.maxBytes", "100000")
+    try:
+        assert not bounds.is_small(wide) and not bounds.is_small(nested) and not bounds.is_small(maps)
+        assert bounds.is_small(wide.select("id")) and bounds.is_small(nulls) and bounds.is_small(wide.limit(0))
+    finally:
+        spark.conf.unset("gridlake.broadcast.maxBytes")
+    assert bounds.is_small(wide) and bounds.is_small(nested)
+
+
+def texts_in_order(spark):
+    """Rows with a nullable order column and ties that the second one breaks."""
+    return spark.range(300).select(
+        F.when(F.col("id") % 50 != 0, F.col("id") % 7).alias("a"), F.col("id").alias("b"), F.repeat(F.lit("text "), 50).alias("text")
+    )
+
+
+def ordered_plainly(df):
+    return sorted(df.collect(), key=lambda r: (r.a is not None, r.a or 0, r.b))
+
+
+@pytest.mark.parametrize("limit", [None, 20])
+def test_late_position_equals_plain_one(spark, limit):
+    df = texts_in_order(spark)
+    got = {r.b: r.pos for r in ordered.late_position(df, ["a", "b"], limit=limit).collect()}
+    assert got == {r.b: i for i, r in enumerate(ordered_plainly(df))}
+    assert ordered.late_position(df.limit(0), ["a", "b"]).count() == 0
+
+
+@pytest.mark.parametrize("top", [5, 10**6])
+@pytest.mark.parametrize("span", [(0, None), (0, 4), (3, 9), (6, 7), (250, 400), (300, None), (299, None), (9, 3), (-2, 2)])
+def test_rows_from_equals_a_slice(spark, monkeypatch, top, span):
+    monkeypatch.setattr(ordered, "TOP_ROWS", top)
+    df = texts_in_order(spark)
+    got = sorted(r.b for r in ordered.rows_from(df, ["a", "b"], *span, limit=20).collect())
+    assert got == sorted(r.b for r in ordered_plainly(df)[max(span[0], 0) : span[1]])
+
+
+def test_no_text_is_sorted_or_moved_for_its_number(spark):
+    """The windows of numbered batches hold order columns only; resuming moves no row at all."""
+    import re
+
+    from gridlake.operators import sampling
+
+    df = texts_in_order(spark).withColumn("text", F.concat("text", F.col("b").cast("string")))
+    plan = sampling.numbered_batches(df, ["a", "b"], 16)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if re.search(r"\bWindow\b", line)]
+    below = plan[plan.index(windows[0]) :]
+    assert len(windows) == 1 and "text" not in below
+    resumed = sampling.skip_rows(df, ["a", "b"], 100)
+    outer = resumed._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert resumed.count() == 200 and "Sort" not in outer and "Join" not in outer
+
+
 def test_cut_lineage_keeps_rows(spark):
     df = spark.range(50).withColumn("x", F.rand(1))
     cut = bounds.cut_lineage(df)
