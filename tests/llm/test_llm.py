@@ -77,6 +77,45 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def clustered(n: int, centres: int, width: int, noise: float) -> list[tuple[int, list[float]]]:
+    """Vectors around centres of length one, dealt over the ids in turn."""
+    draw = np.random.default_rng(5)
+    middle = draw.normal(size=(centres, width))
+    middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+    return [(i, (middle[i % centres] + noise * draw.normal(size=width)).tolist()) for i in range(n)]
+
+
+def test_topk_scores_few_blocks_of_clustered_vectors(spark):
+    """Most blocks are skipped, the result is that of comparing all; on random vectors the share is near one."""
+    rows = clustered(4000, 40, 16, 0.02)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = F.col("vec_id") % 50 == 0
+    m = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    want = set()
+    for q in range(0, len(m), 50):
+        scores = m @ m[q]
+        best = [c for c in np.lexsort((np.arange(len(m)), -scores)).tolist() if c != q][:5]
+        want |= {(q, k + 1, c, int(scores[c])) for k, c in enumerate(best)}
+    got = collected(topk.top_k(df, asked, segment_rows=500, block_rows=25))
+    assert {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got} == want and len(got) == len(want)
+    effort = topk.search_effort(df, asked, segment_rows=500, block_rows=25).first()
+    # Repartitioning by sampled ranges moves the borders of segments a little.
+    assert effort["blocks"] >= 80 * 160 and 0 < effort["share"] < 0.25
+    none = topk.search_effort(df.limit(0), asked).first()
+    assert tuple(none) == (0, 0, None)
+
+
+def test_topk_bisection_keeps_every_row_once():
+    m = np.array([v for _, v in clustered(330, 7, 5, 0.01)])
+    order = topk.bisected(m, 32)
+    assert sorted(order.tolist()) == list(range(330))
+    blocks = [m[order[a : a + 32]] for a in range(0, 330, 32)]
+    plain = [m[a : a + 32] for a in range(0, 330, 32)]
+    spread = [sum(np.ptp(b, axis=0).sum() for b in bs) for bs in (blocks, plain)]
+    assert spread[0] < 0.6 * spread[1]
+    assert topk.bisected(np.zeros((0, 3)), 32).tolist() == [] and len(topk.bisected(np.zeros((70, 0)), 32)) == 70
+
+
 def test_sharding_is_even_in_rows_and_sources(spark, docs, empty, tmp_path):
     got = collected(sharding.assign_shards(docs))
     assert len(got) == docs.count()
