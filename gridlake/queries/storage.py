@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridlake.functions import grid as G
 from gridlake.functions import text as X
 from gridlake.operators import evaluation as E
+from gridlake.operators import known as K
 from gridlake.operators import manifest as M
 from gridlake.plans import build as B
 from gridlake.plans.bounds import broadcast_if_small
@@ -386,6 +387,16 @@ def training_report(spark, sf_dir):
     return M.training_report(progress_log(spark, sf_dir))
 
 
+@query("""with k as (select doc_id, n_chars, sha256(concat_ws('_', text, '224', '224')) as content_key from documents)
+select doc_id, n_chars, content_key from k where content_key not in (select content_key from k join labels using (doc_id))""")
+def sketch_skip(spark, sf_dir):
+    """Documents whose content no labelled document has; a sketch over the known keys decides most of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", X.content_key(F.col("text")).alias("content_key"))
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    stored = docs.join(labels, "doc_id", "left_semi").select(F.col("content_key").alias("key")).distinct()
+    return K.skip_known(docs, stored)
+
+
 @query("""with k as (select doc_id, sha256(text || '_224_224') as content_key, quality is not null as known
   from documents left join labels using (doc_id))
 select doc_id, content_key from k where content_key not in (select content_key from k where known)""")
