@@ -3,8 +3,9 @@
 A code is an array of sub-codes of ``size`` bits. Two codes at a distance of at most m (s + 1) - 1 have
 one of their m sub-codes at a distance of at most s, so keys are indexed under each sub-code and looked
 up under all values at distance 0, 1, 2, ... of the query's sub-codes. A query is done as soon as its
-kth distance is that certain. When the next radius would look up more values than there are codes, the
-queries left are compared with all codes, block by block.
+kth distance is that certain. A look-up is a row that is shuffled and joined, a comparison a few machine
+operations on packed codes: when the next radius would cost more than comparing, the queries left are
+compared with all codes, block by block.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from gridlake.plans.bounds import broadcast_if_small, cut_lineage
 MAX_SIZE = 30
 #: Query codes and keys that one comparison of blocks holds.
 QUERY_BLOCK, KEY_BLOCK = 512, 8192
+#: Comparisons of two codes in a block that cost about as much as one row of a look-up.
+LOOKUP_COST = 64
+#: So many pairs of a query code and a key are made without weighing them against comparing.
+FEW_MEETINGS = 1_000_000
 
 
 def sign_code(vec: Column, projection: np.ndarray, size: int) -> Column:
@@ -52,16 +57,38 @@ def nearest_first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def probed(codes: DataFrame, index: DataFrame, size: int, radius: int) -> DataFrame:
-    """Keys with a sub-code at exactly ``radius`` from that of a query code, with their whole distance."""
+def looked_up(codes: DataFrame, size: int, radius: int) -> DataFrame:
+    """(query_code, at, value): all values at exactly ``radius`` from each sub-code of each code."""
     masks = [sum(1 << i for i in bits) for bits in itertools.combinations(range(size), radius)]
     looked = codes.select("query_code", F.posexplode("query_code").alias("at", "value"))
-    looked = looked.select("query_code", "at", F.explode(F.transform(F.lit(masks).cast("array<int>"), lambda x: F.col("value").bitwiseXOR(x))).alias("value"))
-    met = looked.join(index, ["at", "value"])
+    return looked.select("query_code", "at", F.explode(F.transform(F.lit(masks).cast("array<int>"), lambda x: F.col("value").bitwiseXOR(x))).alias("value"))
+
+
+def meetings(looked: DataFrame, index: DataFrame) -> int:
+    """How many pairs of a query code and a key the look-up would make."""
+    asked = looked.groupBy("at", "value").agg(F.count(F.lit(1)).alias("asked"))
+    held = index.groupBy("at", "value").agg(F.count(F.lit(1)).alias("held"))
+    return asked.join(held.hint("merge"), ["at", "value"]).agg(F.sum(F.col("asked") * F.col("held"))).first()[0] or 0
+
+
+def probed(looked: DataFrame, index: DataFrame) -> DataFrame:
+    """Keys that have one of the values looked up, with their whole distance.
+
+    Spark sizes exploded rows like the rows they come from, so that without the hint it would broadcast them.
+    """
+    met = looked.join(index.hint("merge"), ["at", "value"])
     return met.select("query_code", "key_id", distance("query_code", "code").cast("int").alias("distance")).distinct()
 
 
-def compared(codes: DataFrame, keys: DataFrame, keys_count: int, m: int, k: int) -> DataFrame:
+def packed(flat: np.ndarray, size: int) -> np.ndarray:
+    """Sub-codes of a code side by side in as few words of 64 bits as they need; one row per word."""
+    each = 64 // size
+    shift = (np.arange(each) * size).astype(np.uint64)
+    cut = [flat[:, j : j + each].astype(np.uint64) for j in range(0, flat.shape[1], each)]
+    return np.stack([np.bitwise_or.reduce(x << shift[: x.shape[1]], axis=1) for x in cut])
+
+
+def compared(codes: DataFrame, keys: DataFrame, keys_count: int, m: int, size: int, k: int) -> DataFrame:
     """The k nearest keys of each code in every block of keys; every block of codes meets every block of keys once."""
     blocks = max(1, math.ceil(keys_count / KEY_BLOCK))
     packs = max(1, math.ceil(codes.count() / QUERY_BLOCK))
@@ -77,15 +104,17 @@ def compared(codes: DataFrame, keys: DataFrame, keys_count: int, m: int, k: int)
             for codes, ids, flat in zip(batch["codes"], batch["ids"], batch["flat"]):
                 q = np.stack(list(codes)).astype(np.int64)
                 ids, held = np.asarray(ids, np.int64), np.asarray(flat, np.int64).reshape(-1, m)
-                apart = sum(np.bitwise_count(q[:, j : j + 1] ^ held[None, :, j]).astype(np.int64) for j in range(m))
+                apart = np.zeros((len(q), len(ids)), np.int64)
+                for a, b in zip(packed(q, size), packed(held, size)):
+                    apart += np.bitwise_count(a[:, None] ^ b[None, :])
                 # Keys are sorted by id, so a place in the block settles ties.
                 order = apart * len(ids) + np.arange(len(ids))
-                best = np.argsort(order, axis=1)[:, :k]
+                best = np.argpartition(order, k - 1, axis=1)[:, :k] if k < len(ids) else np.argsort(order, axis=1)
                 n = best.shape[1]
                 rows = np.repeat(np.arange(len(q)), n)
                 yield pd.DataFrame({"query_code": list(q[rows].astype(np.int32)), "key_id": ids[best.ravel()], "distance": apart[rows, best.ravel()]})
 
-    sent = pack.join(block, "block").select("codes", F.col("held.key_id").alias("ids"), F.flatten("held.code").alias("flat"))
+    sent = pack.join(block.hint("merge"), "block").select("codes", F.col("held.key_id").alias("ids"), F.flatten("held.code").alias("flat"))
     return sent.mapInPandas(meet, "query_code array<int>, key_id long, distance int")
 
 
@@ -106,8 +135,11 @@ def nearest_codes(queries: DataFrame, bank: DataFrame, size: int, k: int = 32) -
     m = len(sample["code"])
     index = cut_lineage(keys.select("key_id", "code", F.posexplode("code").alias("at", "value")))
     best, parts, radius = None, [], 0
-    while radius <= size and m * math.comb(size, radius) <= n:
-        more = probed(left, index, size, radius)
+    while radius <= size and m * math.comb(size, radius) * LOOKUP_COST <= n:
+        looked = looked_up(left, size, radius)
+        if meetings(looked, index) > max(FEW_MEETINGS, left.count() * n // LOOKUP_COST):
+            break
+        more = probed(looked, index)
         if best is not None:
             more = more.union(best.join(left, "query_code", "left_semi").select("query_code", "key_id", "distance")).distinct()
         best = cut_lineage(nearest_first(more, k))
@@ -118,7 +150,9 @@ def nearest_codes(queries: DataFrame, bank: DataFrame, size: int, k: int = 32) -
         left = cut_lineage(left.join(done, "query_code", "left_anti"))
         radius += 1
     if not left.isEmpty():
-        parts.append(nearest_first(compared(left, keys, n, m, k), k))
+        parts.append(nearest_first(compared(left, keys, n, m, size, k), k))
+    if not parts:
+        return queries.select("query_id").limit(0).selectExpr("query_id", "0L as key_id", "0 as distance", "0 as rank")
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

@@ -69,3 +69,42 @@ def test_few_keys_and_none(spark):
     assert sorted(tuple(r) for r in H.nearest_codes(asked, keys, 8, 5).collect()) == [(7, 1, 1, 1), (7, 2, 1, 2)]
     assert H.nearest_codes(asked, keys.limit(0), 8, 5).count() == 0
     assert H.nearest_codes(asked.limit(0), keys, 8, 5).count() == 0
+
+
+def random_codes(n):
+    r = random.Random(9)
+    return [(i, [r.getrandbits(16) for _ in range(8)]) for i in range(n)], "key_id long, code array<int>"
+
+
+def test_look_ups_cost_no_more_than_comparing(spark, monkeypatch):
+    bank, schema = random_codes(600)
+    looked = []
+
+    def counted(codes, size, radius, made=H.looked_up):
+        out = made(codes, size, radius)
+        looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(H, "looked_up", counted)
+    keys = spark.createDataFrame(bank, schema)
+    got = {tuple(x) for x in H.nearest_codes(keys.withColumnRenamed("key_id", "query_id"), keys, 16, 4).collect()}
+    assert got == expected(bank, bank, 4)
+    assert sum(looked) * H.LOOKUP_COST <= 600 * 600
+
+
+def test_keys_with_a_common_sub_code_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(H, "FEW_MEETINGS", 0)
+    monkeypatch.setattr(H, "probed", lambda *args: pytest.fail("made pairs of all codes"))
+    bank, schema = random_codes(600)
+    bank = [(i, [7, *c[1:]]) for i, c in bank]
+    keys = spark.createDataFrame(bank, schema)
+    got = {tuple(x) for x in H.nearest_codes(keys.withColumnRenamed("key_id", "query_id"), keys, 16, 4).collect()}
+    assert got == expected(bank, bank, 4)
+
+
+def test_values_looked_up_are_not_broadcast(spark):
+    """10 000 codes make 9.6 million values at radius 2; Spark takes them for a table of a few hundred KB."""
+    codes = spark.range(10_000).selectExpr("transform(sequence(0, 7), i -> cast((id * 7919 + i * 104729) % 65536 as int)) as query_code", "id as key_id").localCheckpoint()
+    index = codes.selectExpr("key_id", "query_code as code", "posexplode(query_code) as (at, value)").localCheckpoint()
+    plan = H.probed(H.looked_up(codes.select("query_code"), 16, 2), index)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
