@@ -404,9 +404,12 @@ def decode_concepts(
 
 
 def cut_at_stop(df: DataFrame, keys: list[str], pos: str, is_stop: Column) -> DataFrame:
-    """Drop every row of a key at or after its first stop position."""
+    """Drop every row of a key at or after its first stop position.
+
+    The stops, one row per key, are the hashed side: the rows stream past them and are never sorted.
+    """
     stops = df.where(is_stop).groupBy(*keys).agg(F.min(pos).alias("_stop"))
-    joined = df.join(stops, keys, "left")
+    joined = df.join(stops.hint("shuffle_hash"), keys, "left")
     return joined.where(F.col("_stop").isNull() | (F.col(pos) < F.col("_stop"))).drop("_stop")
 
 

@@ -138,3 +138,20 @@ def test_cut_at_stop(spark):
     df = spark.createDataFrame(rows, "k string, pos int, stop boolean")
     kept = X.cut_at_stop(df, ["k"], "pos", F.col("stop"))
     assert sorted((r.k, r.pos) for r in kept.collect()) == [("a", 0), ("b", 0)]
+
+
+def test_cut_at_stop_does_not_sort_the_rows(spark):
+    df = spark.range(1000).selectExpr("id % 10 as k", "id as pos", "id % 90 = 77 as stop").localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = X.cut_at_stop(df, ["k"], "pos", F.col("stop"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = {(r.k, r.pos) for r in kept.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first = {}
+    for i in range(1000):
+        if i % 90 == 77:
+            first.setdefault(i % 10, i)
+    assert got == {(i % 10, i) for i in range(1000) if i < first.get(i % 10, 1000)}
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
