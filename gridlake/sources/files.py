@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import text as X
 from gridlake.plans.bounds import broadcast_if_small, cut_lineage
-from gridlake.plans.ordered import prefix_sums, with_position
+from gridlake.plans.ordered import prefix_sums, rows_per_task, with_position
 from gridlake.sources.entries import read_records
 
 # File extensions of each modality.
@@ -95,6 +95,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Characters of lines that one task puts in order, about.
+PLACED_CHARS = 32_000_000
+
+
 def placed_lines(lines: DataFrame) -> DataFrame:
     """(file, _at, _t): the text of each line with its line end, and its offset in the file in characters.
 
@@ -110,7 +114,10 @@ def placed_lines(lines: DataFrame) -> DataFrame:
     full = F.when(final & ~F.col("_ends"), F.col("line")).otherwise(F.concat("line", F.lit("\n")))
     texts = joined.select("file", "start", "row", F.regexp_replace(full, "\r\n?", "\n").alias("_t"))
     measured = texts.withColumn("_n", F.length("_t").cast("long"))
-    placed = prefix_sums(measured, ["file"], ["start", "row"], {"_at": F.col("_n")}, inclusive=False)
+    # The texts travel with their offsets, so a task is bounded by their characters as well as by rows.
+    rows, chars = measured.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    limit = max(1, min(rows_per_task(lines), rows * PLACED_CHARS // max(1, chars)))
+    placed = prefix_sums(measured, ["file"], ["start", "row"], {"_at": F.col("_n")}, inclusive=False, limit=limit)
     return placed.where("_n > 0").select("file", "_at", "_t")
 
 
@@ -234,16 +241,25 @@ def chunk_words(lines: DataFrame, size: int = 1000, block: int = WORD_BLOCK, fan
             found = [_exits(t, size, block, n).astype(np.int32) for t, n in zip(batch["text"], batch["total"].tolist())]
             yield pd.DataFrame({"file": batch["file"].tolist(), "_c": batch["_c"].to_numpy(), "exits": pd.Series(found, dtype=object)})
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch[["text", "total", "entry"]].itertuples(index=False, name=None)
+            yield batch[["file", "_c", "entry"]].assign(n=[len(_pieces(text, size, block, total, entry)) for text, total, entry in rows])
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, c, text, total, entry in batch[["file", "_c", "text", "total", "entry"]].itertuples(index=False, name=None):
+            for file, text, total, entry, first in batch[["file", "text", "total", "entry", "first"]].itertuples(index=False, name=None):
                 found = _pieces(text, size, block, total, entry)
                 if found:
-                    yield pd.DataFrame({"file": [file] * len(found), "at": [c * block + p for p, _ in found], "chunk": [x for _, x in found]})
+                    yield pd.DataFrame({"file": [file] * len(found), "idx": range(first, first + len(found)), "chunk": [x for _, x in found]})
 
     maps = blocks.mapInPandas(exits, "file string, _c long, exits array<int>")
-    pieces = blocks.join(block_entries(maps, fan), ["file", "_c"]).mapInPandas(cut, "file string, at long, chunk string")
-    return with_position(pieces, ["file"], ["at"], "idx").select("file", "idx", X.strip(F.col("chunk")).alias("chunk"))
+    entered = blocks.join(block_entries(maps, fan), ["file", "_c"])
+    # Pieces are numbered by their block's count, so none of them has to be moved for it.
+    counts = cut_lineage(entered.mapInPandas(count, "file string, _c long, entry int, n long"))
+    numbered = prefix_sums(counts, ["file"], ["_c"], {"first": F.col("n")}, inclusive=False).drop("n")
+    pieces = blocks.join(numbered, ["file", "_c"]).mapInPandas(cut, "file string, idx long, chunk string")
+    return pieces.select("file", "idx", X.strip(F.col("chunk")).alias("chunk"))
 
 
 def _text_samples(chunks: DataFrame, name: Column) -> DataFrame:

@@ -157,6 +157,30 @@ def test_word_chunks_of_a_file_in_blocks(spark, tmp_path, end, block, fan, split
     assert got == {(r.file, r.idx): r.chunk for r in want}
 
 
+def test_word_chunks_bound_tasks_by_characters(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("ab ") for _ in range(rng.randrange(400))) for _ in range(300)]
+    (tmp_path / "long.txt").write_text("\n".join(lines))
+    calls = []
+    real = L.prefix_sums
+
+    def watched(df, *args, **named):
+        calls.append((set(df.columns), named.get("limit")))
+        return real(df, *args, **named)
+
+    monkeypatch.setattr(L, "prefix_sums", watched)
+    monkeypatch.setattr(L, "with_position", lambda *args, **named: pytest.fail("pieces put in order with their texts"))
+    monkeypatch.setattr(L, "PLACED_CHARS", 5000, raising=False)
+    got = {r.idx: r.chunk for r in L.chunk_words(L.read_lines(spark, str(tmp_path)), 100, 2000).collect()}
+    whole = spark.createDataFrame([("\n".join(lines),)], "text string")
+    want = whole.select(F.posexplode(X.word_chunks(F.col("text"), 100)).alias("idx", "chunk")).collect()
+    assert got == {r.idx: r.chunk for r in want}
+    chars = sum(map(len, lines))
+    texts = [limit for columns, limit in calls if "_t" in columns]
+    assert len(texts) == 1 and texts[0] * chars / len(lines) <= 5000
+    assert not [columns for columns, _ in calls if columns & {"text", "chunk"}]
+
+
 def test_folder_catalogue(spark, tmp_path):
     for name in ("a.PNG", "b.txt", "sub/c.md", "d.npy", "e.webp", "f.pdf", "g.zip"):
         p = tmp_path / name
