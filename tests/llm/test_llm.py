@@ -564,3 +564,16 @@ def test_pipeline_equals_its_stages_written_plainly(spark, tmp_path):
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, docs.collect()))
     odd = spark.createDataFrame([(1, "a", "en", "s", 1), (1, "a", "en", "s", 1), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.near_dedup(spark, odd, SF_DIR).count() == 2
+
+
+def test_bpe_builds_few_pair_indexes(monkeypatch):
+    """One index for three million characters, and words met before are not encoded again."""
+    built, real = [], bpe.encode_words
+    monkeypatch.setattr(bpe, "encode_words", lambda vocab, words: built.append(len(words)) or real(vocab, words))
+    encoder = bpe.Encoder(bpe.default_path())
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(5)) for n in range(400_000)]
+    texts = [" ".join(words[k : k + 4000]) for k in range(0, 400_000, 4000)]
+    first = [x.tobytes() for x in bpe.encoded(encoder, texts)]
+    assert built == [400_000]
+    assert [x.tobytes() for x in bpe.encoded(encoder, texts)] == first
+    assert built == [400_000]
