@@ -4,8 +4,10 @@ A code is an array of sub-codes of ``size`` bits. Two codes at a distance of at
 one of their m sub-codes at a distance of at most s, so keys are indexed under each sub-code and looked
 up under all values at distance 0, 1, 2, ... of the query's sub-codes. A query is done as soon as its
 kth distance is that certain. A look-up is a row that is shuffled and joined, a comparison a few machine
-operations on packed codes: when the next radius would cost more than comparing, the queries left are
-compared with all codes, block by block.
+operations on packed codes that moves nothing: when the next radius would cost more than comparing, or
+would move more rows than a few per code and key, the queries left are compared with all codes. Packs of
+queries meet the blocks of keys one by one and keep their k nearest as they go, so what is written grows
+with the queries and the keys, not with their pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +29,14 @@ MAX_SIZE = 30
 QUERY_BLOCK, KEY_BLOCK = 512, 8192
 #: Comparisons of two codes in a block that cost about as much as one row of a look-up.
 LOOKUP_COST = 64
-#: So many pairs of a query code and a key are made without weighing them against comparing.
+#: So many rows of look-ups, or pairs of a query code and a key, are made without weighing them.
 FEW_MEETINGS = 1_000_000
+#: Beyond that, a radius may make so many of them per code and key; each is a row on disk.
+MOVED = 16
+#: Keys that one task holds while packs of codes pass by, and pairs that are compared in one task.
+KEYS_AT_ONCE, TASK_PAIRS = 2_000_000, 4_000_000_000
+#: Distances worked out at once.
+TILE = 1 << 18
 
 
 def sign_code(vec: Column, projection: np.ndarray, size: int) -> Column:
@@ -47,16 +55,16 @@ def sign_code(vec: Column, projection: np.ndarray, size: int) -> Column:
     return code(vec)
 
 
-def distance(a: str, b: str) -> Column:
-    """Bits in which two codes differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-
-
 def nearest_first(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_code").orderBy("distance", "key_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def gathered(found: DataFrame) -> DataFrame:
+    """(query_code, found): the keys of each code in one row, the nearest first."""
+    return found.groupBy("query_code").agg(F.array_sort(F.collect_list(F.struct("distance", "key_id"))).alias("found"))
+
+
 def looked_up(codes: DataFrame, size: int, radius: int) -> DataFrame:
     """(query_code, at, value): all values at exactly ``radius`` from each sub-code of each code."""
     masks = [sum(1 << i for i in bits) for bits in itertools.combinations(range(size), radius)]
@@ -71,13 +79,18 @@ def meetings(looked: DataFrame, index: DataFrame) -> int:
     return asked.join(held.hint("merge"), ["at", "value"]).agg(F.sum(F.col("asked") * F.col("held"))).first()[0] or 0
 
 
-def probed(looked: DataFrame, index: DataFrame) -> DataFrame:
-    """Keys that have one of the values looked up, with their whole distance.
+def probed(looked: DataFrame, index: DataFrame, reach: int | None = None) -> DataFrame:
+    """Keys that have one of the values looked up, with their whole distance; of those within ``reach`` if given.
 
+    A pair may meet under several sub-codes and at several radii. It counts where its sub-codes are
+    nearest, the first time, which shows in the two codes, so pairs needn't travel to be made distinct.
     Spark sizes exploded rows like the rows they come from, so that without the hint it would broadcast them.
     """
     met = looked.join(index.hint("merge"), ["at", "value"])
-    return met.select("query_code", "key_id", distance("query_code", "code").cast("int").alias("distance")).distinct()
+    met = met.withColumn("parts", F.zip_with("query_code", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")))
+    met = met.where(F.array_position("parts", F.array_min("parts")) == F.col("at") + 1)
+    found = met.select("query_code", "key_id", F.aggregate("parts", F.lit(0), lambda n, x: n + x).alias("distance"))
+    return found if reach is None else found.where(F.col("distance") <= reach)
 
 
 def packed(flat: np.ndarray, size: int) -> np.ndarray:
@@ -88,34 +101,106 @@ def packed(flat: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(x << shift[: x.shape[1]], axis=1) for x in cut])
 
 
+def unpacked(words: np.ndarray, m: int, size: int) -> np.ndarray:
+    """The sub-codes that ``packed`` put side by side; one row per code."""
+    each, mask = 64 // size, np.uint64((1 << size) - 1)
+    return np.stack([words[j // each] >> np.uint64(j % each * size) & mask for j in range(m)], axis=1).astype(np.int32)
+
+
+def in_blocks(rows: DataFrame, most: int, size: int) -> DataFrame:
+    """(ids, words): up to ``most`` rows of ``rows(id, code)`` of a partition at a time, with packed codes."""
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, words, n = [], [], 0
+        for batch in batches:
+            for a in range(0, len(batch), most):
+                part = batch.iloc[a : a + most]
+                ids.append(part["id"].to_numpy(np.int64))
+                words.append(packed(np.stack(part["code"].to_list()).astype(np.int64), size))
+                n += len(part)
+                if n >= most:
+                    flat, held = np.concatenate(ids), np.concatenate(words, axis=1)
+                    yield pd.DataFrame({"ids": [flat[:most].tobytes()], "words": [held[:, :most].tobytes()]})
+                    ids, words, n = [flat[most:]], [held[:, most:]], n - most
+        if n:
+            yield pd.DataFrame({"ids": [np.concatenate(ids).tobytes()], "words": [np.concatenate(words, axis=1).tobytes()]})
+
+    return rows.mapInPandas(block, "ids binary, words binary")
+
+
+class Nearest:
+    """The k nearest keys so far of each code of a pack."""
+
+    def __init__(self, words: np.ndarray, k: int, bits: int):
+        self.words, self.k, self.kind = words, k, np.uint8 if bits < 255 else np.int32
+        self.none = np.iinfo(self.kind).max
+        self.apart = np.full((words.shape[1], k), self.none, self.kind)
+        self.ids = np.zeros((words.shape[1], k), np.int64)
+
+    def meet(self, ids: np.ndarray, held: np.ndarray) -> None:
+        step = max(1, TILE // len(ids))
+        for a in range(0, self.words.shape[1], step):
+            q = self.words[:, a : a + step]
+            apart = np.zeros((q.shape[1], len(ids)), self.kind)
+            for x, y in zip(q, held):
+                apart += np.bitwise_count(x[:, None] ^ y[None, :])
+            worst = self.apart[a : a + step, -1]
+            if len(ids) > self.k and (worst == self.none).any():
+                worst = np.minimum(worst, np.partition(apart, self.k - 1, axis=1)[:, self.k - 1])
+            at, key = np.nonzero(apart <= worst[:, None])
+            if len(at):
+                self.merge(a, at, apart[at, key], ids[key])
+
+    def merge(self, a: int, at: np.ndarray, apart: np.ndarray, ids: np.ndarray) -> None:
+        rows, place = np.unique(at, return_inverse=True)
+        at = np.concatenate((np.repeat(np.arange(len(rows)), self.k), place))
+        apart = np.concatenate((self.apart[a + rows].ravel(), apart))
+        ids = np.concatenate((self.ids[a + rows].ravel(), ids))
+        order = np.lexsort((ids, apart, at))
+        starts = np.searchsorted(at[order], np.arange(len(rows)))
+        kept = order[(starts[:, None] + np.arange(self.k)[None, :]).ravel()]
+        self.apart[a + rows] = apart[kept].reshape(-1, self.k)
+        self.ids[a + rows] = ids[kept].reshape(-1, self.k)
+
+    def result(self, m: int, size: int) -> pd.DataFrame:
+        sizes = (self.apart < self.none).sum(axis=1)
+        ids, apart = [[x[:n] for x, n in zip(part, sizes)] for part in (self.ids, self.apart.astype(np.int32))]
+        return pd.DataFrame({"query_code": list(unpacked(self.words, m, size)), "ids": ids, "distances": apart})
+
+
 def compared(codes: DataFrame, keys: DataFrame, keys_count: int, m: int, size: int, k: int) -> DataFrame:
-    """The k nearest keys of each code in every block of keys; every block of codes meets every block of keys once."""
-    blocks = max(1, math.ceil(keys_count / KEY_BLOCK))
-    packs = max(1, math.ceil(codes.count() / QUERY_BLOCK))
-    spread = F.sequence(F.lit(0), F.lit(blocks - 1))
-    asked = codes.withColumn("pack", F.pmod(F.xxhash64("query_code"), F.lit(packs))).withColumn("block", F.explode(spread))
-    dealt = keys.withColumn("block", F.pmod(F.xxhash64("key_id"), F.lit(blocks)).cast("int"))
-    # Codes of a block of keys, packed once, meet the packs of codes one by one.
-    block = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key_id", "code"))).alias("held"))
-    pack = asked.groupBy("block", "pack").agg(F.collect_list("query_code").alias("codes"))
+    """(query_code, found): the k nearest keys of each code; every pack of codes meets every block of keys once.
+
+    Packs pass by the blocks of a partition of keys within one task (a Cartesian product, nothing of which
+    is shuffled) and only leave with their k nearest. Beyond ``KEYS_AT_ONCE`` keys these meet once more.
+    """
+    n, cores = codes.count(), codes.sparkSession.sparkContext.defaultParallelism
+    packs = max(1, math.ceil(n / QUERY_BLOCK))
+    tasks = min(packs, max(cores, math.ceil(n * keys_count / TASK_PAIRS)))
+    parts = math.ceil(keys_count / KEYS_AT_ONCE)
+    pack = in_blocks(codes.select(F.lit(0).cast("long").alias("id"), F.col("query_code").alias("code")).repartition(tasks), QUERY_BLOCK, size)
+    held = keys.select(F.col("key_id").alias("id"), "code").coalesce(max(1, math.ceil(keys_count / KEY_BLOCK)))
+    block = cut_lineage(in_blocks(held, KEY_BLOCK, size)).coalesce(max(1, parts))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, best = None, None
         for batch in batches:
-            for codes, ids, flat in zip(batch["codes"], batch["ids"], batch["flat"]):
-                q = np.stack(list(codes)).astype(np.int64)
-                ids, held = np.asarray(ids, np.int64), np.asarray(flat, np.int64).reshape(-1, m)
-                apart = np.zeros((len(q), len(ids)), np.int64)
-                for a, b in zip(packed(q, size), packed(held, size)):
-                    apart += np.bitwise_count(a[:, None] ^ b[None, :])
-                # Keys are sorted by id, so a place in the block settles ties.
-                order = apart * len(ids) + np.arange(len(ids))
-                best = np.argpartition(order, k - 1, axis=1)[:, :k] if k < len(ids) else np.argsort(order, axis=1)
-                n = best.shape[1]
-                rows = np.repeat(np.arange(len(q)), n)
-                yield pd.DataFrame({"query_code": list(q[rows].astype(np.int32)), "key_id": ids[best.ravel()], "distance": apart[rows, best.ravel()]})
-
-    sent = pack.join(block.hint("merge"), "block").select("codes", F.col("held.key_id").alias("ids"), F.flatten("held.code").alias("flat"))
-    return sent.mapInPandas(meet, "query_code array<int>, key_id long, distance int")
+            for words, ids, flat in zip(batch["codes"], batch["ids"], batch["words"]):
+                if words != now:
+                    if best is not None:
+                        yield best.result(m, size)
+                    now, best = words, Nearest(np.frombuffer(words, np.uint64).reshape(math.ceil(m / (64 // size)), -1), k, m * size)
+                ids = np.frombuffer(ids, np.int64)
+                best.meet(ids, np.frombuffer(flat, np.uint64).reshape(-1, len(ids)))
+        if best is not None:
+            yield best.result(m, size)
+
+    pairs = pack.select(F.col("words").alias("codes")).join(block.hint("shuffle_replicate_nl"))
+    met = pairs.mapInPandas(meet, "query_code array<int>, ids array<long>, distances array<int>")
+    found = met.select("query_code", F.transform(F.arrays_zip("distances", "ids"), lambda x: F.struct(x["distances"].alias("distance"), x["ids"].alias("key_id"))).alias("found"))
+    if parts <= 1:
+        return found
+    return found.groupBy("query_code").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
 
 
 def nearest_codes(queries: DataFrame, bank: DataFrame, size: int, k: int = 32) -> DataFrame:
@@ -133,28 +218,32 @@ def nearest_codes(queries: DataFrame, bank: DataFrame, size: int, k: int = 32) -
     if sample is None:
         return queries.select("query_id").limit(0).selectExpr("query_id", "0L as key_id", "0 as distance", "0 as rank")
     m = len(sample["code"])
-    index = cut_lineage(keys.select("key_id", "code", F.posexplode("code").alias("at", "value")))
-    best, parts, radius = None, [], 0
-    while radius <= size and m * math.comb(size, radius) * LOOKUP_COST <= n:
+    index = keys.select("key_id", "code", F.posexplode("code").alias("at", "value"))
+    best, parts, radius, asked = None, [], 0, left.count()
+    few = max(FEW_MEETINGS, MOVED * (n + asked))
+    weighed = [s for s in range(size + 1) if m * math.comb(size, s) * LOOKUP_COST <= n]
+    reach = m * (max(weighed, default=0) + 1) - 1
+    while radius in weighed and asked * m * math.comb(size, radius) <= few:
         looked = looked_up(left, size, radius)
-        if meetings(looked, index) > max(FEW_MEETINGS, left.count() * n // LOOKUP_COST):
+        if meetings(looked, index) > max(FEW_MEETINGS, min(few, asked * n // LOOKUP_COST)):
             break
-        more = probed(looked, index)
+        more = probed(looked, index, None if radius == size else reach)
         if best is not None:
-            more = more.union(best.join(left, "query_code", "left_semi").select("query_code", "key_id", "distance")).distinct()
+            more = more.union(best.join(left, "query_code", "left_semi").select("query_code", "key_id", "distance"))
         best = cut_lineage(nearest_first(more, k))
         sure = best.groupBy("query_code").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("worst"))
         certain = (F.col("n") == k) & (F.col("worst") <= m * (radius + 1) - 1) | F.lit(radius == size)
         done = cut_lineage(sure.where(certain).select("query_code"))
-        parts.append(best.join(done, "query_code", "left_semi").select("query_code", "key_id", "distance", "rank"))
+        parts.append(gathered(best.join(done, "query_code", "left_semi")))
         left = cut_lineage(left.join(done, "query_code", "left_anti"))
-        radius += 1
-    if not left.isEmpty():
-        parts.append(nearest_first(compared(left, keys, n, m, size, k), k))
+        radius, asked = radius + 1, left.count()
+    if asked:
+        parts.append(compared(left, keys, n, m, size, k))
     if not parts:
         return queries.select("query_id").limit(0).selectExpr("query_id", "0L as key_id", "0 as distance", "0 as rank")
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
     answers = cut_lineage(found)
-    return queries.join(broadcast_if_small(answers), F.col("code") == F.col("query_code")).select("query_id", "key_id", "distance", "rank")
+    met = queries.join(broadcast_if_small(answers), F.col("code") == F.col("query_code")).select("query_id", F.posexplode("found").alias("at", "near"))
+    return met.select("query_id", "near.key_id", "near.distance", (F.col("at") + 1).alias("rank"))

@@ -108,3 +108,44 @@ def test_values_looked_up_are_not_broadcast(spark):
     index = codes.selectExpr("key_id", "query_code as code", "posexplode(query_code) as (at, value)").localCheckpoint()
     plan = H.probed(H.looked_up(codes.select("query_code"), 16, 2), index)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_comparing_leaves_one_row_a_code(spark, monkeypatch):
+    """What leaves the comparison doesn't grow with the blocks of keys, and pairs of blocks aren't shuffled."""
+    monkeypatch.setattr(H, "QUERY_BLOCK", 70)
+    monkeypatch.setattr(H, "KEY_BLOCK", 50)
+    bank, schema = random_codes(600)
+    keys = spark.createDataFrame(bank, schema)
+    met = H.compared(keys.selectExpr("code as query_code").distinct(), keys, 600, 8, 16, 4)
+    assert met.count() == 600
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan
+
+
+def test_keys_of_several_tasks_and_ties(spark, monkeypatch):
+    for name, most in (("KEYS_AT_ONCE", 150), ("KEY_BLOCK", 40), ("QUERY_BLOCK", 33), ("TILE", 400), ("LOOKUP_COST", 10**9)):
+        monkeypatch.setattr(H, name, most)
+    r = random.Random(5)
+    bank = [(r.getrandbits(62) - 2**61, [r.getrandbits(3), r.getrandbits(3)]) for _ in range(600)]
+    keys = spark.createDataFrame(bank, "key_id long, code array<int>").repartition(5)
+    asked = [(i, [a, b]) for i, (a, b) in enumerate((a, b) for a in range(8) for b in range(8))]
+    got = {tuple(x) for x in H.nearest_codes(spark.createDataFrame(asked, "query_id long, code array<int>"), keys, 3, 7).collect()}
+    assert got == expected(asked, bank, 7)
+
+
+def test_look_ups_move_few_rows_per_code_and_key(spark, monkeypatch):
+    monkeypatch.setattr(H, "LOOKUP_COST", 1)
+    monkeypatch.setattr(H, "FEW_MEETINGS", 0)
+    bank, schema = random_codes(600)
+    looked = []
+
+    def counted(codes, size, radius, made=H.looked_up):
+        out = made(codes, size, radius)
+        looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(H, "looked_up", counted)
+    keys = spark.createDataFrame(bank, schema)
+    got = {tuple(x) for x in H.nearest_codes(keys.withColumnRenamed("key_id", "query_id"), keys, 16, 4).collect()}
+    assert got == expected(bank, bank, 4)
+    assert looked and max(looked) <= 16 * 1200
