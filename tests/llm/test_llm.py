@@ -505,6 +505,66 @@ def test_lm_spelling_is_a_distribution_and_learns():
     assert 0.9 < chance.sum() <= 1.001
 
 
+def chained(seed: int, n: int) -> list[str]:
+    """Words of which each allows only two next ones."""
+    r, names = random.Random(seed), [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    out = [r.choice(names)]
+    while len(out) < n:
+        out.append(names[(names.index(out[-1]) * 7 + r.choice((3, 11))) % len(names)])
+    return out
+
+
+def test_lm_scores_tokens_where_they_stand(spark):
+    """The same words in another order are another text: less likely, unless the order is usual."""
+    rows = [(i, " ".join(chained(i, 300))) for i in range(90) if not lm.is_held_out(i)]
+    held = [i for i in range(100, 200) if lm.is_held_out(i)][:6]
+    for i, j in zip(held[:3], held[3:]):
+        words = chained(i, 200)
+        rows += [(i, " ".join(words)), (j, " ".join(random.Random(i).sample(words, len(words))))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x for x in collected(lm.score_texts(table, chunk_chars=20_000))}
+    for i, j in zip(held[:3], held[3:]):
+        assert got[i]["base_score"] == pytest.approx(got[j]["base_score"])
+        assert got[i]["score"] > got[j]["score"] + 100
+
+
+def test_lm_scores_the_first_byte_of_a_rare_token_after_its_predecessor(spark):
+    """Tokens that stand once are spelled; what byte they begin with depends on the token before."""
+    rows = [(i, " ".join(f"left q{i}x{j} right z{i}x{j}" for j in range(60))) for i in range(40) if not lm.is_held_out(i)]
+    ids = [i for i in range(100, 200) if lm.is_held_out(i)][:2]
+    rows += [(ids[0], "left qabc right zabc " * 5), (ids[1], "left zabc right qabc " * 5)]
+    got = {x["doc_id"]: x for x in collected(lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)))}
+    assert got[ids[0]]["base_score"] == pytest.approx(got[ids[1]]["base_score"])
+    assert got[ids[0]]["score"] > got[ids[1]]["score"] + 5
+
+
+def test_lm_code_and_chances_after_any_tokens_add_up():
+    r = random.Random(3)
+    counts = np.array([int(3000 / (i + 1)) + 1 for i in range(400)])
+    codes = lm.Codes(counts)
+    assert sum(2.0**-n for n in codes.length.tolist()) == pytest.approx(1)
+    paths = {tuple(codes.bit[a : a + n].tolist()) for a, n in zip(codes.offset, codes.length)}
+    assert len(paths) == 400 and codes.seen[0] == counts.sum()
+    for symbol in (0, 7, 399):
+        first = codes.node[codes.offset[symbol] + codes.length[symbol] - 1]
+        below = [s for s in range(400) if first in codes.node[codes.offset[s] : codes.offset[s] + codes.length[s]]]
+        assert codes.seen[first] == counts[below].sum()
+    cost = (codes.length * counts).sum() / counts.sum()
+    entropy = -(counts / counts.sum() * np.log2(counts / counts.sum())).sum()
+    assert entropy <= cost < entropy + 1
+    tables = np.random.default_rng(1).integers(0, 40, (2, 1 << 16)).astype(np.uint16) * 257
+    mixer = lm.TokenMixer(codes, 144, tables).fork()
+    every = np.arange(400)
+    for seen in range(3):
+        contexts = [np.full(400, r.getrandbits(32), np.uint32) for _ in range(2)]
+        path = mixer.path(every, contexts)
+        x, gate = mixer.inputs(path, own=True)
+        z = mixer.mix(x, gate)
+        mixer.update(x, gate, z, mixer.refine_key(z, path), path.bit)
+        mixer.finish()
+        assert (10.0 ** mixer.log10(every, contexts)).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_mixing_meets_targets_and_keeps_clean_documents(spark, docs, empty):
     rows, labels = [], []
     for i in range(600):
